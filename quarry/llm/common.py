@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,9 +52,16 @@ def written(df: DataFrame) -> DataFrame:
     """Like checkpointed(), as a Parquet table: smaller on disk, read by column."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished phases; it does so as the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_hash(*cols: str | Column) -> Column:
     """Tells rows of the same id apart. Equal rows share it, and get equal results."""
     return F.xxhash64(F.lit("row"), *[F.col(c) if isinstance(c, str) else c for c in cols])

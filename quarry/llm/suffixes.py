@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by a distributed suffix sort.
 
 Which suffixes can repeat at all is found first: each 200-byte window is known by its anchor, the
-32-byte string in it with the least hash, and consecutive windows with one anchor form a span. A
+48-byte string in it with the least hash, and consecutive windows with one anchor form a span. A
 window can only repeat if its anchor does. The suffixes of spans with repeated anchors are then
 range-partitioned by the anchor's leading bytes, sorted by multikey quicksort in their buckets,
 and neighbours compared. Splitters fall between leading bytes, so equal strings share a bucket.
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import row_hash, text_runs, written
 
 LENGTH = 200
-ANCHOR = 32
+ANCHOR = 48
 HOT = 4096  # different spans with one anchor beyond which their windows are matched by digest
 _CHUNK = 1 << 19
 _BATCH = 8 << 20  # bytes of spans sorted together, at least
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SIGN = np.uint64(1 << 63)
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
@@ -41,7 +40,7 @@ def _words(buf: np.ndarray) -> np.ndarray:
 
 
 def _anchor_hashes(words: np.ndarray) -> np.ndarray:
-    """Of the 32 bytes that start at each place."""
+    """Of the ANCHOR bytes that start at each place."""
     n = words.size - ANCHOR + 8
     h = (words[:n] ^ _M2) * _M1
     for k in range(8, ANCHOR, 8):
@@ -63,8 +62,8 @@ def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:n], head[width - 1 : width - 1 + n])
 
 
-def spans_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """Text, first window's start, number of windows, anchor's place from it, anchor's hash, leading bytes, digests."""
+def spans_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """Text, first window's start, number of windows, anchor's place from it, anchor's hash, digests."""
     width = LENGTH - ANCHOR + 1
     for a, b in text_runs(texts, _CHUNK):
         step = _CHUNK if b - a == 1 else sum(map(len, texts[a:b])) + 1
@@ -98,15 +97,15 @@ def spans_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             text = np.searchsorted(first, lo, side="right") - 1
             digest = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())]
             anchor = at[lo]
-            yield a + text, lo - first[text] + base, n, anchor - lo, h[anchor], words[anchor] ^ _SIGN, digest
+            yield a + text, lo - first[text] + base, n, anchor - lo, h[anchor], digest
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "start", "n", "off", "anchor", "lead", "content"]
+    names = ["row", "start", "n", "off", "anchor", "content"]
     for b in batches:
         texts = [t or b"" for t in b.column(1).to_pylist()]
-        for text, start, n, off, anchor, lead, digest in spans_of(texts):
-            signed = [x.view(np.int64) for x in (anchor, lead, np.array(digest, np.uint64))]
+        for text, start, n, off, anchor, digest in spans_of(texts):
+            signed = [x.view(np.int64) for x in (anchor, np.array(digest, np.uint64))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(start), pa.array(n, pa.int32()), pa.array(off, pa.int32()), *map(pa.array, signed)], names)
 
 
@@ -185,13 +184,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _lead(cut: bytes, off: int) -> int:
+    """The anchor's first 8 bytes as a number in the order of the bytes."""
+    return int.from_bytes(cut[off : off + 8], "big") - (1 << 63)
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "start", "anchor", "n", "off", "bytes", "lead"]
     for b in batches:
-        for row, text, spans in zip(*[c.to_pylist() for c in b.columns]):
-            cols = [[s[k] for s in spans] for k in ("start", "anchor", "n", "off", "lead")]
+        for _, row, text, spans in zip(*[c.to_pylist() for c in b.columns]):
+            cols = [[s[k] for s in spans] for k in ("start", "anchor", "n", "off")]
             cut = [text[s["start"] : s["start"] + s["n"] + LENGTH - 1] for s in spans]
-            arrays = [pa.array([row] * len(spans)), *map(pa.array, cols[:2]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cut, pa.binary()), pa.array(cols[4])]
+            lead = [_lead(c, o) for c, o in zip(cut, cols[3])]
+            arrays = [pa.array([row] * len(spans)), *map(pa.array, cols[:2]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cut, pa.binary()), pa.array(lead, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -228,25 +233,30 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(d: DataFrame) -> DataFrame:
-    """row, lo, hi: byte ranges that cover every repeated 200-byte string. d: row, bytes."""
-    spans = d.select("row", "bytes").mapInArrow(_spans, "row long, start long, n int, off int, anchor long, lead long, content long")
+    """row, lo, hi: byte ranges that cover every repeated 200-byte string. d: doc_id, row, bytes.
+
+    Texts are shuffled by row once: the exchange also serves the caller's join of d by row.
+    """
+    spans = d.select("row", "bytes").mapInArrow(_spans, "row long, start long, n int, off int, anchor long, content long")
     seen = spans.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("content") != F.max("content")).alias("mixed")).where("times > 1")
-    cand = written(spans.join(seen.select("anchor", "mixed").hint("shuffle_hash"), "anchor"))
+    seen = written(seen.select("anchor", "mixed"))
+    cand = written(spans.join(seen.hint("shuffle_hash"), "anchor"))
     whole = [F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("hi")]
     mixed = cand.where("mixed")
-    least = F.min(F.struct("row", "start", "n", "off", "lead")).alias("x")
+    least = F.min(F.struct("row", "start", "n", "off")).alias("x")
     reps = written(mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), least).select("anchor", "content", "times", "x.*"))
     out = cand.where("not mixed").select("row", *whole)
     out = out.unionByName(mixed.join(reps.where("times > 1").select("anchor", "content"), ["anchor", "content"]).select("row", *whole))
-    kinds = reps.groupBy("anchor").agg((F.count("*") > HOT).alias("hot"))
-    per = reps.join(kinds, "anchor").groupBy("row", "hot").agg(F.collect_list(F.struct("start", "anchor", "n", "off", "lead")).alias("spans"))
-    cut = per.join(d.select("row", "bytes"), "row").select("row", "bytes", "spans", "hot")
+    kinds = written(reps.groupBy("anchor").agg((F.count("*") > HOT).alias("hot")))
+    any_hot = not kinds.where("hot").isEmpty()
+    per = reps.join(kinds, "anchor").groupBy("row", "hot").agg(F.collect_list(F.struct("start", "anchor", "n", "off")).alias("spans"))
+    cut = d.join(per.hint("shuffle_hash"), "row").select("doc_id", "row", "bytes", "spans", "hot")
     types = "row long, start long, anchor long, n int, off int, bytes binary, lead long"
-    cold = written(cut.where("not hot").select("row", "bytes", "spans").mapInArrow(_cut_out, types))
+    cold = cut.where("not hot").select("doc_id", "row", "bytes", "spans").mapInArrow(_cut_out, types)
     buckets = cold.repartitionByRange("lead", "anchor").sortWithinPartitions("lead", "anchor")
     out = out.unionByName(buckets.select("row", "start", "anchor", "n", "off", "bytes").mapInArrow(_compare, "row long, lo long, hi long"))
-    if not kinds.where("hot").isEmpty():
-        hot = cut.where("hot").select("row", "bytes", "spans").mapInArrow(_cut_out, types).select("row", "start", "n", "bytes")
+    if any_hot:
+        hot = cut.where("hot").select("doc_id", "row", "bytes", "spans").mapInArrow(_cut_out, types).select("row", "start", "n", "bytes")
         w = hot.mapInArrow(_digests, "row long, lo long, d1 long, d2 long").distinct()
         twice = w.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1")
         out = out.unionByName(w.join(twice, ["d1", "d2"]).select("row", "lo", (F.col("lo") + LENGTH).alias("hi")))
