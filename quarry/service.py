@@ -83,6 +83,7 @@ class QueryService:
             if not self._to(q, State.RUNNING):
                 return
             sc.addJobTag(q.query_id)
+            sc.setInterruptOnCancel(True)
             began = time.time()
             bounded = df.limit(self.most_rows + 1)
             rows = bounded.collect()
