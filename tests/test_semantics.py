@@ -117,6 +117,10 @@ def test_join_superset(run):
     assert run("SELECT l.value FROM left_items l JOIN right_items r ON l.id = r.id AND r.label = 'R2a' AND TRUE ORDER BY l.value") == [("L2a",), ("L2b",)]
 
 
+def test_order_by_output_name_of_an_ambiguous_column(run):
+    assert run("SELECT l.id AS id, r.label FROM left_items l JOIN right_items r ON l.id = r.id ORDER BY id, label DESC LIMIT 1") == [(2, "R2b")]
+
+
 def test_names_in_results(spark, run):
     e = Engine(spark).register("a", spark.createDataFrame([(1, 2)], "x int, `y.z` int")).register("b", spark.createDataFrame([(1, 3)], "x int, w int"))
     df = e.sql("SELECT * FROM a JOIN b ON a.x = b.x ORDER BY a.x")
