@@ -14,7 +14,7 @@ SIZE_BITS = 14  # hashed character bigrams and trigrams
 FIT_ROWS = 600  # of a language, at most about so many labelled rows fit the model, drawn by hash
 LANGUAGES = 200  # at most, the most frequent; bounds the model
 CENTROIDS = 3
-KEEP = 0.4  # a text is rejected if its cosine is below KEEP x that of all but 1 % of fitted rows
+KEEP = 0.25  # a text is rejected if its cosine is below KEEP x that of all but 1 % of fitted rows
 _CHUNK = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _letters: np.ndarray | None = None

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import checkpointed
@@ -17,7 +17,9 @@ K = 3  # tokens in a k-mer
 PICKS = 2  # k-mers in a tuple
 SIGNATURES = 64
 TOKEN = 12  # longer words are cut to tokens of so many code points
-BUCKETS = 1024  # at most, of the id order; each keeps its documents and the next bucket's first
+BUCKETS = 1 << 14  # at most, of the id order; each keeps its documents and the next bucket's first
+BUCKET_ROWS = 2000  # documents in a bucket, about, while there are fewer buckets
+_COARSE = 128  # every so many-th cut is looked at first
 _STEP = 1 << 13
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, SIGNATURES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,6 +119,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], _OUT)
 
 
+def _cuts_below(cuts: list[int], x: Column) -> Column:
+    """How many of the sorted cuts are less than x, found in two steps."""
+    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+    coarse = F.size(F.filter(listed(cuts[_COARSE - 1 :: _COARSE]), lambda c: c < x)) * _COARSE
+    return coarse + F.size(F.filter(F.slice(listed(cuts), coarse + 1, F.lit(_COARSE)), lambda c: c < x))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -133,19 +142,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = ids.count()
     if not n:
         return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    parts = int(min(BUCKETS, max(1, n // 2000)))
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    count = len(cuts) + 1
-    known = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda c: c < F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), count).otherwise(known)
+    parts = int(min(BUCKETS, max(1, n // BUCKET_ROWS)))
+    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_cuts_below(cuts, F.col("doc_id"))).cast("int")
     firsts = ids.select(bucket.alias("b"), "doc_id").groupBy("b").agg(F.min("doc_id").alias("least")).orderBy("b").collect()  # one a bucket
-    lend = {r["b"]: firsts[i - 1]["b"] for i, r in enumerate(firsts)}
-    least = F.create_map(*[F.lit(x) for r in firsts for x in (r["b"], r["least"])])
-    before = F.create_map(*[F.lit(x) for k, v in lend.items() for x in (k, v)])
+    around = [(r["b"], r["least"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(around, "b int, least long, before int"))  # at most BUCKETS + 1 rows
     own = F.struct(F.col("b").alias("bucket"), F.lit(True).alias("own"))
-    other = F.struct(before[F.col("b")].alias("bucket"), F.lit(False).alias("own"))
-    d = d.withColumn("b", bucket)
-    leads = F.col("doc_id").eqNullSafe(least[F.col("b")])
+    other = F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))
+    leads = F.col("doc_id").eqNullSafe(F.col("least"))
+    d = d.withColumn("b", bucket).join(bounds, "b")
     d = d.withColumn("x", F.explode(F.when(leads, F.array(own, other)).otherwise(F.array(own)))).select("x.bucket", "x.own", "doc_id", "text")
     d = d.repartition("bucket").sortWithinPartitions("bucket", F.desc("own"), F.col("doc_id").asc_nulls_last(), "text")
     types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -180,10 +180,14 @@ def test_order_minhash(spark, odd, none):
 
 def test_order_minhash_many_buckets(spark, monkeypatch):
     made = queries.op5_order_minhash(spark, SMALL).collect()
-    monkeypatch.setattr(orderhash, "BUCKETS", 7)
+    monkeypatch.setattr(orderhash, "BUCKET_ROWS", 50)
     big = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("doc_id", F.explode(F.expr("sequence(doc_id * 15, doc_id * 15 + 14)")))
-    ids = [r["doc_id"] for r in orderhash.fingerprints(big.withColumn("text", F.substring("text", 1, 60))).collect()]
-    assert sorted(ids) == list(range(15_000))
+    got = orderhash.fingerprints(big.withColumn("text", F.concat(F.substring("text", 1, 60), F.col("doc_id").cast("string")))).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(15_000))
+    texts = {r["doc_id"]: r["text"][:60] + str(r["doc_id"]) for r in big.collect()}
+    for r in got:
+        e = orderhash.edited(texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 15_000])
+        assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
     assert np.mean([r["near_edited"] for r in made]) > 3 * np.mean([r["near_next"] for r in made])
 
 
