@@ -62,4 +62,4 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_personal_data, op5_order_minhash, op6_source_mix, op7_chat_format, op8_packing, op9_simhash, op10_topk_search)}
-ORACLES = {"op3_line_dedup": lines.ORACLE, "op6_source_mix": mixing.ORACLE, "op7_chat_format": chat.ORACLE, "op10_topk_search": search.ORACLE}
+ORACLES = {"op2_suffix_dedup": suffixes.ORACLE, "op3_line_dedup": lines.ORACLE, "op6_source_mix": mixing.ORACLE, "op7_chat_format": chat.ORACLE, "op10_topk_search": search.ORACLE}

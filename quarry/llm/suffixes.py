@@ -279,3 +279,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+#: All 200-byte strings by brute force.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(generate_series(0, n - 200)) AS i FROM n WHERE n >= 200)),
+dup AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING COUNT(*) > 1) USING (k)),
+marked AS (SELECT doc_id, i, COALESCE(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, TRUE) AS fresh FROM dup),
+numbered AS (SELECT doc_id, i, SUM(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+runs AS (SELECT doc_id, run, MIN(i) AS lo, MAX(i) + 200 AS hi FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT r.doc_id, lo, substring(h, 2 * COALESCE(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0) + 1, 2 * (lo - COALESCE(lag(hi) OVER (PARTITION BY r.doc_id ORDER BY lo), 0))) AS piece, hi FROM runs r JOIN n USING (doc_id)),
+sums AS (SELECT doc_id, COUNT(*) AS n_spans, SUM(hi - lo)::BIGINT AS n_removed, MAX(hi) AS last, string_agg(piece, '' ORDER BY lo) AS head FROM gaps JOIN runs USING (doc_id, lo, hi) GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+        sha256(unhex(COALESCE(head, '') || substring(h, 2 * COALESCE(last, 0) + 1))) AS kept_sha256 FROM n LEFT JOIN sums s ON n.doc_id = s.doc_id
+"""

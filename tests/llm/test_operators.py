@@ -338,8 +338,8 @@ def test_simhash_brute_force(spark, odd, none):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-@pytest.mark.parametrize(("paired", "swept"), [(64, 20_000), (4, 20_000), (4, 8)])
-def test_links_in_crowded_cells(spark, monkeypatch, paired, swept):
+@pytest.mark.parametrize(("paired", "swept", "blocks"), [(64, 20_000, 6), (4, 20_000, 4), (4, 8, 6), (64, 20_000, 8)])
+def test_links_in_crowded_cells(spark, monkeypatch, paired, swept, blocks):
     monkeypatch.setattr(simhash, "PAIRED", paired)
     monkeypatch.setattr(simhash, "SWEPT", swept)
     rng = random.Random(4)
@@ -354,7 +354,7 @@ def test_links_in_crowded_cells(spark, monkeypatch, paired, swept):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     find = brute_components(fps)
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    comp = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in connected(simhash.links(df), "a", "b").collect()}
+    comp = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in connected(simhash.links(df, blocks), "a", "b").collect()}
     groups = lambda key: {frozenset(x for x in fps if key(x) == k) for k in {key(x) for x in fps}}
     assert groups(find) == groups(lambda x: comp.get(x, x))
 
