@@ -31,6 +31,7 @@ class Diagnostics:
     rules: dict[str, int] = field(default_factory=dict)
     seconds: float = 0.0
     timeline: list[dict] = field(default_factory=list)
+    stages: list[dict] = field(default_factory=list)
 
     def total(self, *names: str) -> int:
         return sum(o.metrics.get(n, 0) for o in self.operators for n in names)
@@ -58,11 +59,30 @@ def plans(df: DataFrame) -> dict:
     stats = opt.stats()
     rows = stats.rowCount()
     return {
-        "analyzed": q.analyzed().toString(), "optimized": opt.toString(), "physical": q.executedPlan().toString(), "rules": rules(df),
+        "analyzed": q.analyzed().toString(), "optimized": opt.toString(), "physical": q.executedPlan().toString(), "rules": rules(df), "joins": join_decisions(q.executedPlan().toString()),
         "estimate": {"size_bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else None},
     }
 
 
+def join_decisions(physical: str) -> list[dict]:
+    """The joins of a physical plan with their strategies and build sides."""
+    found = re.findall(r"\b((?:BroadcastHash|SortMerge|ShuffledHash|BroadcastNestedLoop)Join|CartesianProduct)\b(.*)", physical)
+    return [{"operator": op, "strategy": "broadcast" if op.startswith("Broadcast") else "repartition", "build": m[1].lower() if (m := re.search(r"Build(Left|Right)", rest)) else None} for op, rest in found]
+
+
+def stages_of(sc, tag: str) -> list[dict]:
+    """Spark's stages of the jobs with a tag: tasks, failures and attempts, as far as the driver still knows them."""
+    tracker, out = sc._jsc.sc().statusTracker(), {}
+    for job in tracker.getJobIdsForTag(tag):
+        info = tracker.getJobInfo(job)
+        for stage in info.get().stageIds() if info.isDefined() else []:
+            s = tracker.getStageInfo(stage)
+            if s.isDefined():
+                s = s.get()
+                out[stage] = {"stage_id": stage, "job_id": job, "name": s.name()[:80], "tasks": s.numTasks(), "completed": s.numCompletedTasks(), "failed_tasks": s.numFailedTasks(), "attempt": s.currentAttemptId()}
+    return [out[k] for k in sorted(out)]
+
+
 def rules(df: DataFrame) -> dict[str, int]:
     out, it = {}, df._jdf.queryExecution().tracker().rules().iterator()
     while it.hasNext():
@@ -136,4 +156,5 @@ def explain_analyze(d: Diagnostics) -> str:
     lines = [f"time {d.seconds:.3f} s, shuffle {d.shuffle_bytes} B, spill {d.spill_bytes} B"]
     for o in d.operators:
         lines.append(f"{o.name}: " + ", ".join(f"{k}={v}" for k, v in sorted(o.metrics.items()) if v))
+    lines += [f"stage {s['stage_id']}: {s['tasks']} tasks, {s['failed_tasks']} failed, attempt {s['attempt']}" for s in d.stages]
     return "\n".join(lines + [f"rule {k}: {n}" for k, n in sorted(d.rules.items())])

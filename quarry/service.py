@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import threading
 import time
 import uuid
@@ -23,6 +25,7 @@ class State(StrEnum):
     CANCELED = "canceled"
 
 
+LOG = logging.getLogger("quarry.query")
 FINAL = (State.SUCCEEDED, State.FAILED, State.CANCELED)
 
 
@@ -67,6 +70,8 @@ class QueryService:
                 return False
             q.state = state
             q.timeline.append({"state": str(state), "at": time.time()})
+        level = logging.ERROR if state == State.FAILED else logging.INFO
+        LOG.log(level, json.dumps({"query_id": q.query_id, "state": str(state), "at": q.timeline[-1]["at"], "error": q.error}, sort_keys=True))
         if state in FINAL:
             q.done.set()
         return True
@@ -92,6 +97,7 @@ class QueryService:
             q.rows = [list(r) for r in rows]
             q.diagnostics = diagnostics.collect(bounded, time.time() - began)
             q.diagnostics.timeline = q.timeline
+            q.diagnostics.stages = diagnostics.stages_of(sc, q.query_id)
             self._to(q, State.SUCCEEDED)
         except Exception as e:
             q.error = from_spark(e).as_dict()["error"]

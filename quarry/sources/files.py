@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from quarry.errors import EngineError, ErrorCode, from_spark
 from quarry.operators.relational import quoted
-from quarry.sources import avro, iceberg
+from quarry.sources import avro, iceberg, store
 from quarry.sources.predicates import Combined, Compare
 
 Reader = Callable[[SparkSession, str | list[str], StructType | None, dict], DataFrame]
@@ -54,6 +54,7 @@ class ScanRequest:
 def read(spark: SparkSession, fmt: str, location: str | list[str], schema: StructType | None = None, properties: dict | None = None) -> DataFrame:
     if fmt not in READERS:
         raise EngineError(ErrorCode.INVALID_REQUEST, f"Unknown format {fmt!r}.", format=fmt)
+    location = store.resolved(spark, location) if isinstance(location, str) else [store.resolved(spark, x) for x in location]
     try:
         return READERS[fmt](spark, location, schema, properties or {})
     except Exception as e:

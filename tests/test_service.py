@@ -24,7 +24,8 @@ def service(spark):
     s.close()
 
 
-def test_life_of_a_query(service):
+def test_life_of_a_query(service, caplog):
+    caplog.set_level("INFO", "quarry.query")
     q = service.submit("SELECT o.o_orderpriority, COUNT(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o.o_orderpriority ORDER BY n DESC")
     assert q["state"] == "queued"
     q = service.wait(q["query_id"], 120)
@@ -34,6 +35,9 @@ def test_life_of_a_query(service):
     assert service.plan(q["query_id"])["logical"]["node_type"] == "ORDER"
     m = service.metrics(q["query_id"])
     assert m["shuffle_bytes"] > 0 and m["joins"] and any(o["metrics"].get("numOutputRows") for o in m["operators"])
+    assert m["stages"] and all(s["completed"] == s["tasks"] and s["failed_tasks"] == 0 for s in m["stages"] if s["completed"])
+    assert service.plan(q["query_id"])["joins"][0]["strategy"] in ("broadcast", "repartition")
+    assert [json.loads(r.message)["state"] for r in caplog.records] == ["queued", "planning", "running", "succeeded"]
     assert "HashAggregate" in service.explain_analyze(q["query_id"])
     assert service.advice(q["query_id"])["status"] in ("recommendations", "no_recommendations")
     for bad in ((-1, 10), (0, 0), (0, 1001)):

@@ -84,6 +84,18 @@ def test_missing_and_broken_sources(spark, tmp_path):
         list(avro.records(b"nonsense"))
 
 
+def test_object_store_settings(spark):
+    from quarry.sources import store
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.unset("fs.s3a.endpoint")
+    with pytest.raises(EngineError, match="No object store"):
+        files.read(spark, "parquet", "s3://bucket/x")
+    store.configure_s3(spark, "http://localhost:9000", "key", "secret")
+    assert store.resolved(spark, "s3://bucket/x") == "s3a://bucket/x" and conf.get("fs.s3a.path.style.access") == "true" and store.resolved(spark, "/a") == "/a"
+    conf.unset("fs.s3a.endpoint")
+
+
 def test_avro_missing_field_is_null_and_nested(spark, places, tmp_path):
     from pyspark.sql import types as T
 
