@@ -172,3 +172,24 @@ def test_streaming_select(spark, places, tmp_path):
     assert df.isStreaming
     streams.start(df, "by_region", "complete", str(tmp_path / "ck")).awaitTermination(60)
     assert {tuple(r) for r in spark.table("by_region").collect()} == {("south", 1), (None, 1), ("west", 1)}
+
+
+def test_stored_by_key_joins_without_shuffle(spark):
+    from quarry.sources import buckets
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    customer = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    e = Engine(spark)
+    e.register("orders", buckets.store(orders, "stored_orders", "o_custkey", 4)).register("customer", buckets.store(customer, "stored_customer", "c_custkey", 4))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = e.explain("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+        assert "Exchange" not in plan["physical"] and plan["joins"][0]["strategy"] == "repartition" and plan["estimate"]["rows"]
+        assert "Exchange" not in e.explain("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")["physical"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        buckets.drop(spark, "stored_orders")
+        buckets.drop(spark, "stored_customer")
+    with pytest.raises(EngineError):
+        buckets.store(orders, "x", "nope", 4)
