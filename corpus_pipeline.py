@@ -16,15 +16,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier accepts. It learns from all labelled ones, within its bound."""
     prepare(spark)
     model = languages.fit(languages.training(docs, F.lit(True)))
-    return languages.identify(docs, model, docs.columns).where("accepted").select(*docs.columns)
+    names = ("quarry_lang", "quarry_score", "quarry_accepted")
+    return languages.identify(docs, model, docs.columns, names).where("quarry_accepted").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that later ones repeat. What had text and lost it all goes."""
     prepare(spark)
-    made = lines.dedup_lines(docs, docs.columns)
-    left = made.where((F.col("n_dropped") == 0) | (F.length(F.trim("kept")) > 0))
-    kept = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    made = lines.dedup_lines(docs, docs.columns, names=("quarry_lines", "quarry_dropped", "quarry_kept"))
+    left = made.where((F.col("quarry_dropped") == 0) | (F.length(F.trim("quarry_kept")) > 0))
+    kept = F.when(F.col("quarry_dropped") > 0, F.col("quarry_kept")).otherwise(F.col("text"))
     left = left.withColumn("text", kept)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -128,15 +128,14 @@ def fit(sample: DataFrame, centroids: int = CENTROIDS) -> Model:
     return Model(names, idf, np.ascontiguousarray(both), np.array(owner, int), np.array(floor))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep (columns of docs), then lang_pred string, score double, accepted boolean.
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """keep (columns of docs), then lang_pred string, score double, accepted boolean, under the given names.
 
     Null text or one without letters: und, 0, false. Empty input: no rows; rows are independent,
     so repeated ones agree. Of ties the first centroid wins, languages in order. lang, if there is
     such a column, is not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES x CENTROIDS x 2^SIZE_BITS x 4 bytes
-    made = ["lang_pred", "score", "accepted"]
     at = keep.index("text") if "text" in keep else len(keep)
     cols = keep if "text" in keep else [*keep, "text"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -145,9 +144,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for b in it:
             got = [shared.value.classify(t) for t in b.column(at).to_pylist()]
             out = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *out], [*keep, *made])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *out], [*keep, *names])
 
-    return docs.select(*cols).mapInArrow(batches, f"{types}, lang_pred string, score double, accepted boolean")
+    return docs.select(*cols).mapInArrow(batches, f"{types}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def fold(doc_id: str = "doc_id") -> Column:

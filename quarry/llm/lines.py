@@ -88,32 +88,39 @@ def decisions(posted: DataFrame, refs: DataFrame, made: DataFrame, least_docs: i
     return lost.groupBy("row").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n_lines, n_dropped, kept = [], [], []
-        for text, drop in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines = (text or "").split("\n")
-            if drop:
-                gone = {np.array([d["k1"], d["k2"]], "<i8").tobytes() for d in drop}
-                stay = [x for x, k in zip(lines, line_keys(text)) if k not in gone]
-            else:
-                stay = lines
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(stay))
-            kept.append("\n".join(stay) if drop else text or "")
-        yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n_lines), pa.array(n_dropped), pa.array(kept, pa.string())], [*b.schema.names[2:], "n_lines", "n_dropped", "kept"])
-
-
-def without(docs: DataFrame, lost: DataFrame, keep: list[str]) -> DataFrame:
+def _rebuilt(names: tuple[str, str, str]):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n_lines, n_dropped, kept = [], [], []
+            for text, drop in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lines = (text or "").split("\n")
+                if drop:
+                    gone = {np.array([d["k1"], d["k2"]], "<i8").tobytes() for d in drop}
+                    stay = [x for x, k in zip(lines, line_keys(text)) if k not in gone]
+                else:
+                    stay = lines
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(stay))
+                kept.append("\n".join(stay) if drop else text or "")
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n_lines), pa.array(n_dropped), pa.array(kept, pa.string())], [*b.schema.names[2:], *names])
+
+    return batches
+
+
+NAMES = ("n_lines", "n_dropped", "kept")
+
+
+def without(docs: DataFrame, lost: DataFrame, keep: list[str], names: tuple[str, str, str] = NAMES) -> DataFrame:
     """keep (columns of docs), n_lines, n_dropped, kept: the text without its lost lines."""
     d = docs.select(*keep, F.col("text").alias("quarry_text"), row_hash(F.col("doc_id"), F.col("text")).alias("quarry_row"))
-    d = d.join(lost.withColumnRenamed("row", "quarry_row").hint("shuffle_hash"), "quarry_row", "left").select(F.col("quarry_text"), "drop", *keep)
+    lost = lost.select(F.col("row").alias("quarry_row"), F.col("drop").alias("quarry_drop"))
+    d = d.join(lost.hint("shuffle_hash"), "quarry_row", "left").select("quarry_text", "quarry_drop", *keep)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return d.mapInArrow(_rebuilt, f"{types}, n_lines long, n_dropped long, kept string")
+    return d.mapInArrow(_rebuilt(names), f"{types}, `{names[0]}` long, `{names[1]}` long, `{names[2]}` string")
 
 
-def dedup_lines(docs: DataFrame, keep: list[str], least_docs: int = LEAST_DOCS, shards: int = SHARDS) -> DataFrame:
-    """keep (columns of docs), n_lines, n_dropped, kept.
+def dedup_lines(docs: DataFrame, keep: list[str], least_docs: int = LEAST_DOCS, shards: int = SHARDS, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """keep (columns of docs), n_lines, n_dropped, kept, the last three under the given names.
 
     Lines are split at \\n; a key is the line without blanks at its ends, A-Z as a-z. Keys of 20 code
     points or more in at least 3 documents (rows, whatever their ids) go, except in the largest
@@ -123,7 +130,7 @@ def dedup_lines(docs: DataFrame, keep: list[str], least_docs: int = LEAST_DOCS,
     """
     posted = checkpointed(postings(docs, shards))
     refs = checkpointed(reference_counts(posted))
-    return without(docs, decisions(posted, refs, filters(refs, least_docs), least_docs, shards), keep)
+    return without(docs, decisions(posted, refs, filters(refs, least_docs), least_docs, shards), keep, names)
 
 
 class LineIndex:

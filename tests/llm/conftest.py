@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "text string, doc_id long, lang string, source string, size int, row int, bucket string, target string, rank int"
+SCHEMA = "text string, doc_id long, lang string, source string, size int, row int, bucket string, target string, rank int, accepted boolean, score string, kept int, n_dropped string, drop int, fp string, component_id int, off int, taken int, spans int, kind string, k1 string, b int, least string"
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +13,7 @@ def odd(spark):
         (passage + "y", 6, "en", "b"), ("...", 7, "en", "a"), ("a b", None, "en", "a"), (None, None, None, None), (None, None, None, None), ("é\U0001f600 中文 a@b.co\n" * 3, 9, "fr", "c"),
         ("line one is long enough to count\n" * 2, 10, "en", "a"), ("LINE ONE is long enough to count ", 11, "en", "a"), ("\tline one is long enough to count\nx", 12, "en", "a"),
     ]
-    return spark.createDataFrame([(*r, 7, 8, "x", "y", 9) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 7, 8, "x", "y", 9, False, "s", 1, "n", 2, "f", 3, 4, 5, 6, "k", "k", 7, "l") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

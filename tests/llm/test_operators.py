@@ -37,9 +37,10 @@ def test_languages_held_out(spark):
 
 def test_languages_edges(spark, odd, none):
     model = languages.fit(languages.training(odd, F.lit(True)))
-    got = collections.Counter((r["text"], r["lang_pred"], r["accepted"]) for r in languages.identify(odd, model, odd.columns).collect())
+    names = ("lang_pred", "quarry_score", "quarry_accepted")
+    got = collections.Counter((r["text"], r["lang_pred"], r["quarry_accepted"]) for r in languages.identify(odd, model, odd.columns, names).collect())
     assert got["", "und", False] == 1 and got[None, "und", False] == 3 and got["...", "und", False] == 1 and sum(got.values()) == odd.count()
-    assert languages.identify(none, model, none.columns).count() == 0
+    assert languages.identify(none, model, none.columns, names).count() == 0
     empty = languages.fit(languages.training(none, F.lit(True)))
     assert empty.classify("abc") == ("und", 0.0, False)
     good = languages.fit(languages.training(spark.read.parquet(f"{SMALL}/documents.parquet"), F.lit(True)))
@@ -102,7 +103,7 @@ def test_lines_edges(odd, none):
     got = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in lines.dedup_lines(odd, ["doc_id"]).collect())
     assert got[1, 1, 0, ""] == 1 and got[2, 1, 0, ""] == 1 and got[None, 1, 0, ""] == 2
     assert got[10, 3, 2, ""] == 1 and got[11, 1, 1, ""] == 1 and got[12, 2, 0, "\tline one is long enough to count\nx"] == 1
-    assert lines.dedup_lines(none, none.columns).count() == 0
+    assert lines.dedup_lines(none, none.columns, names=("a1", "a2", "a3")).count() == 0
 
 
 def test_line_index_is_reversible(spark, tmp_path):
