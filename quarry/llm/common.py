@@ -16,13 +16,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch; documents may be long, and two workers share an executor.
+#: Rows and bytes in one Arrow batch; documents may be long, and two workers share an executor.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a Python worker never holds many long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
