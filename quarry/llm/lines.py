@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import BLANKS, LOWER, UPPER, checkpointed, row_hash
-from quarry.llm.cuckoo import CuckooFilter
+from quarry.llm.cuckoo import CuckooFilter, Full
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
-SHARDS = 64
+SHARDS = 64  # at least
+SHARD_POSTINGS = 1 << 20  # in a shard, about, so that filters do not grow with the input
 PACKET = 20_000  # line keys probed together, about
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -44,10 +45,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "row", "k1", "k2"])
 
 
-def postings(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """A row for each document and distinct line key: doc_id, row, k1, k2, shard."""
+def postings(docs: DataFrame) -> DataFrame:
+    """A row for each document and distinct line key: doc_id, row, k1, k2."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), "text")
-    return d.mapInArrow(_postings, "doc_id long, row long, k1 long, k2 long").withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+    return d.mapInArrow(_postings, "doc_id long, row long, k1 long, k2 long")
+
+
+def sharded(posted: DataFrame, shards: int) -> DataFrame:
+    return posted.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
 
 
 def reference_counts(posted: DataFrame) -> DataFrame:
@@ -59,6 +64,19 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [key[0]], "filter": [CuckooFilter.of(rows["k1"].to_numpy()).to_bytes()]})
 
 
+def _updated(key: tuple, old: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter without the keys that fell below the threshold and with those that reached it; none if full."""
+    came = turns.loc[turns["comes"], "k1"].to_numpy()
+    f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(len(came))
+    f.delete(turns.loc[~turns["comes"], "k1"].to_numpy())
+    try:
+        f.insert(came)
+        data = f.to_bytes()
+    except Full:
+        data = None
+    return pd.DataFrame({"shard": [key[0]], "filter": [data]})
+
+
 def filters(refs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """A cuckoo filter for each shard of the exact table: shard, filter. More shards keep each small."""
     return refs.where(F.col("n_docs") >= least_docs).select("shard", "k1").groupBy("shard").applyInPandas(_build, "shard int, filter binary")
@@ -73,18 +91,18 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([v.field(n).filter(hit) for n in ("doc_id", "row", "k1", "k2")], ["doc_id", "row", "k1", "k2"])
 
 
-def probed(posted: DataFrame, made: DataFrame, shards: int = SHARDS) -> DataFrame:
+def probed(posted: DataFrame, made: DataFrame, count: int, shards: int) -> DataFrame:
     """The postings whose key its shard's filter may hold. Postings travel in packets, so that a
     filter is sent once for many of them; a hot shard has more packets, not larger ones."""
-    salts = max(1, posted.count() // (shards * PACKET))
+    salts = max(1, count // (shards * PACKET))
     packets = posted.groupBy("shard", F.pmod("row", F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("doc_id", "row", "k1", "k2")).alias("packet"))
     return packets.join(made, "shard").select("filter", "packet").mapInArrow(_probe, "doc_id long, row long, k1 long, k2 long")
 
 
-def decisions(posted: DataFrame, refs: DataFrame, made: DataFrame, least_docs: int = LEAST_DOCS, shards: int = SHARDS) -> DataFrame:
-    """For each row of documents the keys it loses: row, drop (array of binary digests)."""
+def decisions(posted: DataFrame, refs: DataFrame, made: DataFrame, count: int, least_docs: int, shards: int) -> DataFrame:
+    """For each row of documents the keys it loses: row, drop (array of k1, k2). count: of postings."""
     hot = refs.where(F.col("n_docs") >= least_docs).select("k1", "k2", "last_doc")
-    lost = probed(posted, made, shards).join(hot, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    lost = probed(posted, made, count, shards).join(hot, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("row").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
 
 
@@ -126,24 +144,29 @@ def dedup_lines(docs: DataFrame, keep: list[str], least_docs: int = LEAST_DOCS,
     points or more in at least 3 documents (rows, whatever their ids) go, except in the largest
     doc_id holding them; rows that share that id all keep them. Null or empty text: one empty line,
     kept as an empty text. Null ids are below all others; if all holders' ids are null none drops.
-    Empty input: no rows.
+    Empty input: no rows. shards: at least so many; they do not change the result.
     """
-    posted = checkpointed(postings(docs, shards))
+    posted = checkpointed(postings(docs))
+    count = posted.count()
+    shards = max(shards, -(-count // SHARD_POSTINGS))
+    posted = sharded(posted, shards)
     refs = checkpointed(reference_counts(posted))
-    return without(docs, decisions(posted, refs, filters(refs, least_docs), least_docs, shards), keep, names)
+    return without(docs, decisions(posted, refs, filters(refs, least_docs), count, least_docs, shards), keep, names)
 
 
 class LineIndex:
     """Incremental, reversible line dedup: documents come and go, counts and filters follow.
 
     folder has a log of postings with a sign (+1 came, -1 gone) and one filter table per version.
-    Only shards that a change touches get new filters. Deleting what was inserted restores all
-    earlier decisions. Writes are whole new tables; a failed update leaves the version before.
+    Keys that a change carries over the threshold, up or down, enter or leave their shard's filter;
+    a filter that gets full is built anew from the exact table. Deleting what was inserted restores
+    all earlier decisions. Writes are whole new tables; a failed update leaves the version before.
+    version: that of an index in folder to go on with; 0 begins a new one.
     """
 
-    def __init__(self, spark, folder: str, shards: int = SHARDS, least_docs: int = LEAST_DOCS):
+    def __init__(self, spark, folder: str, shards: int = SHARDS, least_docs: int = LEAST_DOCS, version: int = 0):
         self.spark, self.folder, self.shards, self.least_docs = spark, folder.rstrip("/"), shards, least_docs
-        self.version = 0
+        self.version = version
 
     def _log(self) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.folder}/log-{i}" for i in range(1, self.version + 1)])
@@ -156,16 +179,31 @@ class LineIndex:
     def filters(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/filters-{self.version}")
 
+    def _turns(self, latest: DataFrame) -> DataFrame:
+        """Keys that the latest change carries over the threshold: shard, k1, comes (or goes)."""
+        signs = latest.select("*", F.lit(True).alias("new"))
+        if self.version > 1:
+            before = self.spark.read.parquet(*[f"{self.folder}/log-{i}" for i in range(1, self.version)])
+            before = before.join(latest.select("shard", "k1", "k2").distinct(), ["shard", "k1", "k2"], "left_semi")
+            signs = signs.unionByName(before.withColumn("new", F.lit(False)))
+        old = F.coalesce(F.sum(F.when(~F.col("new"), F.col("sign"))), F.lit(0))
+        live = signs.groupBy("shard", "k1", "k2", "doc_id", "row").agg(old.alias("was"), F.sum("sign").alias("now"))
+        per = live.groupBy("shard", "k1", "k2").agg(*[F.sum(F.greatest(c, F.lit(0))).alias(c) for c in ("was", "now")])
+        comes = F.col("now") >= self.least_docs
+        return per.where((F.col("was") >= self.least_docs) != comes).select("shard", "k1", comes.alias("comes"))
+
     def _change(self, docs: DataFrame, sign: int) -> LineIndex:
         n = self.version + 1
-        postings(docs, self.shards).withColumn("sign", F.lit(sign)).write.mode("overwrite").parquet(f"{self.folder}/log-{n}")
-        touched = self.spark.read.parquet(f"{self.folder}/log-{n}").select("shard").distinct()
-        old = self.filters() if self.version else None
+        sharded(postings(docs), self.shards).withColumn("sign", F.lit(sign)).write.mode("overwrite").parquet(f"{self.folder}/log-{n}")
+        latest = self.spark.read.parquet(f"{self.folder}/log-{n}")
+        old = self.filters() if self.version else self.spark.createDataFrame([], "shard int, filter binary")
         self.version = n
         try:
-            new = filters(self.counts().join(touched, "shard", "left_semi"), self.least_docs)
-            whole = new if old is None else new.unionByName(old.join(touched, "shard", "left_anti"))
-            whole.write.mode("overwrite").parquet(f"{self.folder}/filters-{n}")
+            new = checkpointed(old.groupBy("shard").cogroup(self._turns(latest).groupBy("shard")).applyInPandas(_updated, "shard int, filter binary"))
+            full = new.where("filter is null").select("shard")
+            if not full.isEmpty():
+                new = new.where("filter is not null").unionByName(filters(self.counts().join(full, "shard", "left_semi"), self.least_docs))
+            new.write.mode("overwrite").parquet(f"{self.folder}/filters-{n}")
         except BaseException:
             self.version = n - 1
             raise
@@ -180,8 +218,8 @@ class LineIndex:
 
     def apply(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """docs without the lines that the index holds to be repeated; see dedup_lines."""
-        posted = checkpointed(postings(docs, self.shards))
-        return without(docs, decisions(posted, self.counts(), self.filters(), self.least_docs, self.shards), keep)
+        posted = checkpointed(sharded(postings(docs), self.shards))
+        return without(docs, decisions(posted, self.counts(), self.filters(), posted.count(), self.least_docs, self.shards), keep)
 
 
 def sha256(text: str) -> str:

@@ -121,6 +121,34 @@ def test_line_index_is_reversible(spark, tmp_path):
     assert dropped() == set()
 
 
+def test_line_index_filters_follow(spark, tmp_path):
+    """Changes in several versions, the second filling its filters, decide like one pass over what is left."""
+    texts = {i: "\n".join(f"common line {j} of the block number {i // 4}" for j in range(3 if i < 4 else 200)) for i in range(12)}
+    make = lambda ids: spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string")
+    index = lines.LineIndex(spark, str(tmp_path), shards=2)
+    index.insert(make(range(4)))
+    index.insert(make(range(4, 12)))
+    index.delete(make([0, 1, 4]))
+    left = [i for i in range(12) if i not in (0, 1, 4)]
+    again = lines.LineIndex(spark, str(tmp_path), shards=2, version=3)
+    want = {tuple(r) for r in lines.dedup_lines(make(left), ["doc_id"]).collect()}
+    assert {tuple(r) for r in again.apply(make(left), ["doc_id"]).collect()} == want
+    hot = {r["k1"] for r in again.counts().where("n_docs >= 3").collect()}
+    for r in again.filters().collect():
+        f = CuckooFilter.from_bytes(r["filter"])
+        mine = np.array([k for k in hot if k % 2 == r["shard"]], np.int64)
+        assert f.contains(mine).all() and np.count_nonzero(f.slots) == mine.size
+    index.delete(make([i for i in left if i >= 4]))
+    assert not index.apply(make(left), ["doc_id"]).where("n_dropped > 0").count()
+
+
+def test_line_shards_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {tuple(r) for r in lines.dedup_lines(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(lines, "SHARD_POSTINGS", 10)
+    assert {tuple(r) for r in lines.dedup_lines(docs, ["doc_id"], shards=1).collect()} == want
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     h = rng.integers(-(1 << 62), 1 << 62, 20_000)
