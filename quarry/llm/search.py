@@ -17,6 +17,7 @@ QUERIES = 256  # in a block
 FIRST = 2048  # longest vectors, at most, that give each query its first threshold
 STEEP = 0.5  # local cosine threshold from which coordinates prune
 FOCUS = 4  # coordinates that do
+RANGES, CELLS = 64, 4096  # of the buckets' lengths, and of the join, at most
 _EXACT = float(1 << 53)
 
 
@@ -140,6 +141,25 @@ def _matched(top: int):
     return batches
 
 
+def _placed(q: DataFrame, c: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both with cell: buckets of like length share a range of cells, evenly dealt within; a query
+    block goes only to the ranges whose longest vector can reach its threshold."""
+    parts = int(min(RANGES, blocks))
+    cuts = sorted(set(c.approxQuantile("longest", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    c = c.withColumn("range", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("longest"))) if cuts else F.lit(0))
+    ranges, at = [], 0
+    for r in c.groupBy("range").agg(F.max("longest").alias("most"), F.count("*").alias("n")).orderBy("range").collect():  # at most RANGES rows
+        cells = max(1, r["n"] * min(blocks, CELLS) // blocks)
+        ranges.append((r["range"], float(r["most"]), at, cells))
+        at += cells
+    ranges = ranges or [(0, 0.0, 0, 1)]
+    own = F.element_at(F.create_map(*[x for r, _, lo, n in ranges for x in (F.lit(r), F.struct(F.lit(lo).alias("lo"), F.lit(n).alias("n")))]), F.col("range"))
+    c = c.withColumn("own", own).withColumn("cell", (F.col("own.lo") + F.pmod(F.xxhash64("ids"), F.col("own.n"))).cast("int")).drop("own", "range")
+    listed = F.array(*[F.struct(F.lit(most).alias("most"), F.sequence(F.lit(lo), F.lit(lo + n - 1)).alias("cells")) for _, most, lo, n in ranges])
+    near = F.filter(listed, lambda r: r["most"] >= F.col("need") * (1 - 1e-9))
+    return q.withColumn("cell", F.explode(F.flatten(F.transform(near, lambda r: r["cells"])))), c
+
+
 def top_products(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: each query's candidates of the highest integer inner products.
 
@@ -151,7 +171,7 @@ def top_products(vectors: DataFrame, queries: Column, id_col: str = "vec_id", ve
     product beyond long's range counts as the end of the range. Empty input: no rows.
 
     Queries meet candidates block by block; a block pair is skipped if no query's first threshold,
-    from the longest vectors, can be reached in the bucket.
+    from the longest vectors, can be reached in the bucket, and before the shuffle if in none of its range.
     """
     v = written(quantised(vectors, id_col, vector_col))
     first: dict[int, tuple] = {}
@@ -166,9 +186,7 @@ def top_products(vectors: DataFrame, queries: Column, id_col: str = "vec_id", ve
     c = _blocks(v, BUCKET)
     q, c = written(q), written(c)
     blocks = max(1, c.count())
-    cells = int(min(blocks, 4096))
-    c = c.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
-    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    q, c = _placed(q, c, blocks)
     pairs = q.join(c, ["cell", "dims"]).where(F.col("longest") >= F.col("need") * (1 - 1e-9))
     got = pairs.select("q_ids", "q_vectors", "q_norms", "dims", "floors", "ids", "vectors", "norms").mapInArrow(_matched(top), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -434,6 +434,24 @@ def test_search_edges(spark):
     assert search.top_products(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_search_many_blocks(spark, monkeypatch):
+    """Blocks of few vectors whose lengths differ widely: short ranges get no queries, the result is exact."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)) * np.exp(rng.uniform(-4, 2, (600, 1)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for name, value in (("BUCKET", 10), ("QUERIES", 2), ("FIRST", 64), ("RANGES", 6)):
+        monkeypatch.setattr(search, name, value)
+    sent = []
+    placed = search._placed
+    monkeypatch.setattr(search, "_placed", lambda q, c, blocks: sent.append((placed(q, c, blocks), q.count(), blocks)) or sent[-1][0])
+    got = {tuple(r) for r in search.top_products(df, F.col("id") % 50 == 0).collect()}
+    v = np.floor(x * 256).astype(int)
+    want = {(j, k + 1, i, -s) for j in range(0, 600, 50) for k, (s, i) in enumerate(sorted((-int(v[i] @ v[j]), i) for i in range(600) if i != j)[:5])}
+    assert got == want
+    (q, c), queries, blocks = sent[0]
+    assert c.groupBy("cell").count().count() > 10 and q.count() < queries * blocks / 2
+
+
 def test_pruning_is_exact():
     rng = np.random.default_rng(8)
     c = rng.normal(size=(400, 8)) * rng.uniform(0.1, 2, (400, 1))
