@@ -35,7 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _FIND = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,80}(?![A-Za-z0-9_-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"),
     "local_phone": re.compile(r"(?<![0-9+().-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "id_number": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "veiled_email": re.compile(r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63} ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+", re.I),

@@ -210,6 +210,21 @@ def test_pii_adds_spans_and_keeps_clean_text(spark, odd, none):
     assert pii.find(none, pii.train(none)).count() == 0
 
 
+def test_pii_finds_long_secrets(spark):
+    model = pii.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    rng = random.Random(6)
+    some = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    pat = "github_pat_" + some(22) + "_" + some(59)
+    proj = "sk-proj-" + some(74) + "_T3-" + some(74)
+    assert (len(pat), len(proj)) == (93, 160)
+    for token in (pat, proj, some(128, "0123456789abcdef"), some(5000)):
+        text = f'x token = "{token}" y'
+        assert pii.spans(text, model)[1] == [("secret", 11, 11 + len(token))]
+    for token in (pat, proj):
+        assert pii.spans(f"see {token}.", model)[1] == [("secret", 4, 4 + len(token))]
+    assert pii.spans("x" * 200_000 + " " + "-" * 90 + " " + "section-2-of-the-manual-" * 8, model) == ([], [])
+
+
 # 5 order minhash
 
 
