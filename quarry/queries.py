@@ -63,6 +63,11 @@ SQL: dict[str, tuple[str, str]] = {
     "order_by_ordinal": _same("SELECT c_name, c_acctbal FROM customer ORDER BY 2 DESC, 1 LIMIT 10"),
     "order_by_alias": _same("SELECT c_custkey, 0 - c_acctbal AS debt FROM customer ORDER BY debt, c_custkey LIMIT 10"),
     "order_by_hidden": _same("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10"),
+    "order_multi_nulls_whole": _same(f"SELECT o_orderkey, {_KEY} AS k FROM orders ORDER BY k DESC, o_orderkey"),
+    "order_nulls_first_whole": _same(f"SELECT o_orderkey, {_KEY} AS k FROM orders ORDER BY k NULLS FIRST, o_orderkey DESC"),
+    "order_by_ordinal_whole": _same("SELECT c_name, c_acctbal FROM customer ORDER BY 2 DESC, 1"),
+    "order_by_alias_whole": _same("SELECT c_custkey, 0 - c_acctbal AS debt FROM customer ORDER BY debt, c_custkey"),
+    "order_by_hidden_whole": _same("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey"),
     "join_inner": _same("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"),
     "join_left": _same("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey"),
     "join_right": _same("SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT OUTER JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000.0"),

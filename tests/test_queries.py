@@ -29,6 +29,20 @@ def test_same_rows(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["order_multi_nulls", "order_nulls_first", "order_by_ordinal", "order_by_alias", "order_by_hidden"])
+def test_whole_tables_are_sorted(spark, duck, name):
+    name += "_whole"
+    assert "LIMIT" not in SQL[name][0]
+    got, want = run(name)(spark, DATA), duck.sql(SQL[name][1])
+    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == want.columns and rows == want.fetchall() and len(rows) == (1500 if "nulls" in name else 150)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "Sort [" in plan and "rangepartitioning" in plan
+    if "nulls" in name:
+        empty = [k is None for _, k in rows]
+        assert any(empty) and empty == sorted(empty, reverse="first" in name)
+
+
 def test_entry_without_corpus_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
