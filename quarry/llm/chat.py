@@ -71,11 +71,12 @@ def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     at least, a call's depth follows the calls it waits for, a result is one deeper than its call; a
     call that waits for itself, however indirectly, has depth null. n_linked: results found for its
     calls, or 1 for a result whose call exists. n_invalid: calls whose arguments fail their tool's
-    schema; unknown tools fail. message is canonical JSON: fields in order of name, no blanks, JSON
+    schema, each call by itself; unknown tools fail. message is canonical JSON: fields in order of name, no blanks, JSON
     payloads likewise.
 
     Null text is an empty plain message; null role stays out of the JSON. Text that isn't a JSON object, or
-    malformed, is plain. Of calls with one id in a conversation the earliest counts. Null conv_id is
+    malformed, is plain. Of calls with one id in a conversation the earliest (by turn, then row, then
+    place in the message) says what they wait for. Calls without an id have no results, and nothing waits for them. Null conv_id is
     one conversation. Repeated rows each have a row. Empty input: no rows.
     """
     m = messages.select(F.coalesce("conv_id", F.lit(-(1 << 62))).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -85,15 +86,18 @@ def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     has_calls = F.coalesce(F.size("x.tool_calls") > 0, F.lit(False))
     kind = F.when(has_calls, "calls").when(F.col("x.tool_call_id").isNotNull(), "result").otherwise("plain")
     m = m.withColumn("kind", kind)
-    calls = m.where("kind = 'calls'").select("conv_id", "turn", "row", F.explode("x.tool_calls").alias("c")).select("conv_id", "turn", "row", "c.*")
+    calls = m.where("kind = 'calls'").select("conv_id", "turn", "row", F.posexplode("x.tool_calls").alias("pos", "c")).select("conv_id", "turn", "row", "pos", "c.*")
+    known = lambda x: F.concat(F.lit("id "), x)  # noqa: E731 - no id looks like the place of a call without one
+    calls = calls.withColumn("id", F.coalesce(known(F.col("id")), F.concat_ws(" ", F.lit("at"), "row", "pos"))).withColumn("after", F.transform("after", known))
     calls = checkpointed(_checked(calls, tools))
-    results = m.where("kind = 'result'").select("conv_id", F.col("x.tool_call_id").alias("id"), "row")
-    first = calls.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"), F.min_by("after", "turn").alias("after"))
+    results = m.where("kind = 'result'").select("conv_id", known(F.col("x.tool_call_id")).alias("id"), "row")
+    first = calls.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"), F.min_by("after", F.struct(F.col("turn").isNull(), "turn", "row", "pos")).alias("after"))
     found = results.groupBy("conv_id", "id").agg(F.count("*").alias("found"))
     linked = first.join(_depths(first), ["conv_id", "id"], "left").join(found, ["conv_id", "id"], "left")
     linked = checkpointed(linked.select("conv_id", "id", "call_turn", "depth", F.coalesce("found", F.lit(0)).alias("found")))
-    sums = [F.max("depth").alias("depth"), F.sum("found").alias("n_linked"), F.count_if(~F.col("valid")).alias("n_invalid"), F.max(F.col("depth").isNull()).alias("circular")]
-    of_calls = calls.dropDuplicates(["conv_id", "row", "id"]).join(linked, ["conv_id", "id"], "left").groupBy("row").agg(*sums).withColumn("call_turn", F.lit(None).cast("long"))
+    sums = [F.max("depth").alias("depth"), F.sum("found").alias("n_linked"), F.sum("invalid").alias("n_invalid"), F.max(F.col("depth").isNull()).alias("circular")]
+    by_id = calls.dropDuplicates(["row", "pos"]).groupBy("conv_id", "row", "id").agg(F.count_if(~F.col("valid")).alias("invalid"))
+    of_calls = by_id.join(linked, ["conv_id", "id"], "left").groupBy("row").agg(*sums).withColumn("call_turn", F.lit(None).cast("long"))
     of_calls = of_calls.withColumn("depth", F.when(~F.col("circular"), F.col("depth"))).drop("circular")
     of_results = results.distinct().join(linked, ["conv_id", "id"]).select("row", (F.col("depth") + 1).alias("depth"), F.lit(1).cast("long").alias("n_linked"), F.lit(0).cast("long").alias("n_invalid"), "call_turn")
     facts = of_calls.unionByName(of_results)

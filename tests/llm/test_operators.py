@@ -320,6 +320,19 @@ def test_chat_links(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_calls_without_own_ids(spark):
+    call = lambda *c: json.dumps({"tool_calls": list(c)})
+    good, bad = {"name": "search", "arguments": {"query": "x"}}, {"name": "nope", "arguments": {}}
+    rows = [
+        (1, 0, "assistant", call(good, bad, bad)), (2, 0, "assistant", call({**good, "id": "a"}, {**bad, "id": "a"}, {**bad, "id": "a"})), (2, 1, "tool", '{"tool_call_id": "a"}'),
+        (2, 2, "assistant", call({**bad, "after": ["a", None]}, good)), (3, 0, "assistant", call(bad, good)), (3, 0, "assistant", call(bad, good)), (4, 0, "assistant", call({**good, "id": "c", "after": ["c"]})),
+        (4, 1, "assistant", call({**good, "after": ["c"]})), (5, 0, "assistant", call({**good, "id": "d"}, {**good, "id": "d", "after": ["d"]})), (None, None, None, call(None, good)),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r["conv_id"] or 0, r["turn"] or 0, r["depth"], r["n_calls"], r["n_linked"], r["n_invalid"]) for r in chat.format_chats(df.repartition(3)).collect()), key=str)
+    assert got == [(0, 0, 0, 2, 0, 1), (1, 0, 0, 3, 0, 2), (2, 0, 0, 3, 1, 2), (2, 1, 1, 0, 1, 0), (2, 2, 1, 2, 0, 1), (3, 0, 0, 2, 0, 1), (3, 0, 0, 2, 0, 1), (4, 0, None, 1, 0, 0), (4, 1, None, 1, 0, 0), (5, 0, 0, 2, 0, 0)]
+
+
 # 8 packing
 
 
