@@ -74,13 +74,13 @@ def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     schema, each call by itself; unknown tools fail. message is canonical JSON: fields in order of name, no blanks, JSON
     payloads likewise.
 
-    Null text is an empty plain message; null role stays out of the JSON. Text that isn't a JSON object, or
-    malformed, is plain. Of calls with one id in a conversation the earliest (by turn, then row, then
+    Null text is an empty plain message; null role stays out of the JSON. Text that isn't a JSON object, blanks
+    around it aside, or malformed, is plain. Of calls with one id in a conversation the earliest (by turn, then row, then
     place in the message) says what they wait for. Calls without an id have no results, and nothing waits for them. Null conv_id is
     one conversation. Repeated rows each have a row. Empty input: no rows.
     """
     m = messages.select(F.coalesce("conv_id", F.lit(-(1 << 62))).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    json = F.when(F.col("text").startswith("{"), F.try_parse_json("text"))
+    json = F.when(F.ltrim("text", F.lit(" \t\n\r")).startswith("{"), F.try_parse_json("text"))
     typed = F.when(json.isNotNull(), F.from_json("text", _FIELDS))
     m = m.withColumn("row", row_hash("conv_id", "turn", "role", "text")).withColumn("x", typed)
     has_calls = F.coalesce(F.size("x.tool_calls") > 0, F.lit(False))

@@ -333,6 +333,15 @@ def test_chat_calls_without_own_ids(spark):
     assert got == [(0, 0, 0, 2, 0, 1), (1, 0, 0, 3, 0, 2), (2, 0, 0, 3, 1, 2), (2, 1, 1, 0, 1, 0), (2, 2, 1, 2, 0, 1), (3, 0, 0, 2, 0, 1), (3, 0, 0, 2, 0, 1), (4, 0, None, 1, 0, 0), (4, 1, None, 1, 0, 0), (5, 0, 0, 2, 0, 0)]
 
 
+def test_chat_objects_after_blanks(spark):
+    rows = [(1, 0, ' \n{"tool_calls": [{"id": "a", "name": "nope"}]}'), (1, 1, '\r\n\t{"tool_call_id": "a"}\n'), (1, 2, "\u00a0{}"), (1, 3, "\n x"), (1, 4, ' {"a": 1}')]
+    df = spark.createDataFrame([(c, t, "x", s) for c, t, s in rows], "conv_id long, turn long, role string, text string")
+    got = [(r["kind"], r["depth"], r["n_calls"], r["n_linked"], r["n_invalid"], r["message"]) for r in chat.format_chats(df).orderBy("turn").collect()]
+    assert got[0] == ("calls", 0, 1, 1, 1, '{"payload":{"tool_calls":[{"id":"a","name":"nope"}]},"role":"x"}')
+    assert got[1] == ("result", 1, 0, 1, 0, '{"payload":{"tool_call_id":"a"},"role":"x"}')
+    assert [json.loads(g[5])["content"] for g in got[2:]] == [s for _, _, s in rows[2:]] and all(g[:5] == ("plain", 0, 0, 0, 0) for g in got[2:])
+
+
 # 8 packing
 
 
