@@ -26,6 +26,7 @@ MORE = ("secret", "local_phone", "id_number", "veiled_email", "name")
 KINDS = (*BASE, *MORE)
 LABELERS = ("pattern", "gazetteer", "context")
 SURE = 0.9  # probability from which the classifier reports a span
+FORM_SHARED = ("secret", "id_number")  # hashes, slugs and part numbers have the form, and the votes, of these
 NEAR = 30  # code points before a span that are its context
 _SOME = re.compile(r"[0-9@+]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -229,14 +230,17 @@ def train(docs: DataFrame) -> Model:
 
 
 def spans(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: those and the candidates of which the classifier is sure."""
+    """Base spans, and all spans: those and the candidates of which the classifier is sure.
+
+    Of FORM_SHARED a candidate also needs two positive votes: where such forms are common, EM takes form alone for proof.
+    """
     if not text:
         return [], []
     base = base_spans(text)
     more = []
     for kind, s, e in candidates(text, base):
         v = votes(kind, text, s, e)
-        if sum(x > 0 for x in v) >= 2 and model.probability(kind, v, features(text, s, e)) >= SURE:
+        if (kind not in FORM_SHARED or sum(x > 0 for x in v) >= 2) and model.probability(kind, v, features(text, s, e)) >= SURE:
             more.append((kind, s, e))
     return base, sorted(base + more, key=_place)
 
