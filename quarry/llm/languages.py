@@ -9,13 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SIZE_BITS = 14  # hashed character bigrams and trigrams
 FIT_ROWS = 600  # of a language, at most about so many labelled rows fit the model, drawn by hash
-LANGUAGES = 200  # at most, the most frequent; bounds the model
+LANGUAGES = 200  # beyond so many, each is fitted on fewer rows and has fewer centroids, so that these do not grow in total
+LEAST = 20  # rows a language, however many there are; so few are drawn of each that none is missed
 CENTROIDS = 3
 KEEP = 0.25  # a text is rejected if its cosine is below KEEP x that of all but 1 % of fitted rows
 _CHUNK = 1 << 20
+_CELLS = 1 << 24  # of the centroids, at once for a text
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _letters: np.ndarray | None = None
 
@@ -71,7 +74,8 @@ class Model:
         if not ids.size or not self.languages:
             return "und", 0.0, False
         w = w * self.idf[ids]
-        cos = (w @ self.centroids[ids]) / np.sqrt((w * w).sum())
+        step = max(1, _CELLS // self.owner.size)
+        cos = sum(w[i : i + step] @ self.centroids[ids[i : i + step]] for i in range(0, ids.size, step)) / np.sqrt((w * w).sum())
         best = int(cos.argmax())
         return self.languages[self.owner[best]], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] >= self.floor[best])
 
@@ -92,14 +96,20 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def training(docs: DataFrame, eligible: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """At most about fit_rows labelled rows a language, by a hash of their id: text, lang."""
+    """At most about fit_rows labelled rows of every language, by a hash of their id: text, lang.
+
+    Of more than LANGUAGES languages, fewer each, about as many in total, but no fewer than LEAST.
+    """
     rows = docs.where(eligible & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return rows.select("text", "lang").limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, fit_rows / r["count"]))])
+    each = min(fit_rows, max(LEAST, fit_rows * LANGUAGES // len(counts)))
+    schema = StructType([rows.schema["lang"], StructField("share", DoubleType())])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], schema)
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return rows.where(draw < share[F.col("lang")]).select("text", "lang")
+    rows = rows.select("text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang")  # a row a language
+    return rows.where("draw < share").select("text", "lang")
 
 
 def fit(sample: DataFrame, centroids: int = CENTROIDS) -> Model:
@@ -108,12 +118,14 @@ def fit(sample: DataFrame, centroids: int = CENTROIDS) -> Model:
     for r in sample.toLocalIterator():
         g = grams(r["text"])
         if g[0].size:
-            by.setdefault(r["lang"], []).append(g)
+            by.setdefault(r["lang"], []).append((g[0].astype(np.uint16), g[1]))
     names, df = sorted(by), np.zeros(1 << SIZE_BITS, np.int64)
     for ids, _ in (g for n in names for g in by[n]):
         df[ids] += 1
     idf = (np.log((1 + sum(map(len, by.values()))) / (1 + df)) + 1).astype(np.float32)
-    found, owner, floor = [], [], []
+    centroids = max(1, min(centroids, centroids * LANGUAGES // max(1, len(names))))
+    both = np.zeros((1 << SIZE_BITS, sum(min(centroids, len(by[n])) for n in names)), np.float32)
+    owner, floor = [], []
     for i, n in enumerate(names):
         x = np.zeros((len(by[n]), 1 << SIZE_BITS), np.float32)
         for row, (ids, w) in zip(x, by[n]):
@@ -121,11 +133,10 @@ def fit(sample: DataFrame, centroids: int = CENTROIDS) -> Model:
             row /= np.sqrt((row * row).sum())
         c = _clusters(x, centroids)
         best = (x @ c.T).max(axis=1)
-        found.append(c)
+        both[:, len(owner) : len(owner) + len(c)] = c.T
         owner += [i] * len(c)
         floor += [KEEP * float(np.quantile(best, 0.01))] * len(c)
-    both = np.concatenate(found).T if found else np.zeros((1 << SIZE_BITS, 0), np.float32)
-    return Model(names, idf, np.ascontiguousarray(both), np.array(owner, int), np.array(floor))
+    return Model(names, idf, both, np.array(owner, int), np.array(floor))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
@@ -135,7 +146,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
     so repeated ones agree. Of ties the first centroid wins, languages in order. lang, if there is
     such a column, is not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES x CENTROIDS x 2^SIZE_BITS x 4 bytes
+    # At most LANGUAGES x CENTROIDS or, if there are more, languages x 2^SIZE_BITS x 4 bytes.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index("text") if "text" in keep else len(keep)
     cols = keep if "text" in keep else [*keep, "text"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

@@ -48,6 +48,20 @@ def test_languages_edges(spark, odd, none):
     assert good.classify("здравствуй мир " * 9)[2] is False
 
 
+def test_languages_all_are_learned(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    words = {f"l{i:03}": [word() for _ in range(12)] for i in range(620)}
+    text = lambda n: " ".join(rng.choice(words[n]) for _ in range(40))
+    rows = [(i, text(n), n) for i, n in enumerate(n for k, n in enumerate(words) for _ in range(3 if k < 300 else 2))] + [(10_000 + i, text("l000"), "l000") for i in range(700)]
+    sample = languages.training(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    drawn = collections.Counter(r["lang"] for r in sample.collect())
+    assert set(drawn) == set(words) and drawn["l619"] == 2 and 100 < drawn["l000"] < 300
+    model = languages.fit(sample)
+    assert model.languages == sorted(words) and model.owner.tolist() == [*range(620)]
+    assert np.mean([model.classify(text(n))[0] == n for n in words]) > 0.99
+
+
 # 2 suffix dedup
 
 
