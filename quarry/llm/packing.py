@@ -23,30 +23,31 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Token ids by a byte-level BPE file. tiktoken makes the same ids several times faster, if
-    the file's merges are in the order of their ids; otherwise, and for extreme runs, tokenizers."""
+    """Token ids by a byte-level BPE file, as tokenizers makes them of the file as it is: the string of an
+    added token in a text is that token. tiktoken makes the same ids several times faster, if the file's
+    merges are in the order of their ids, of texts without such strings. What it cannot do in time that
+    grows with the text, runs of over LONG_RUN without a break, tokenizers does; ids do not depend on it."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in special}
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in set(self.added)}
         plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"]
         in_order = all(vocab[t] == 256 + i for i, t in enumerate(made)) and len(ranks) == 256 + len(made)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if plain and in_order else None
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or len(text) > LONG_RUN and _longest_run(text) > LONG_RUN:
+        if self.fast is None or any(t in text for t in self.added) or len(text) > LONG_RUN and _longest_run(text) > LONG_RUN:
             got = self.slow.encode(text, add_special_tokens=False).ids
         else:
             got = self.fast.encode_ordinary(text)
