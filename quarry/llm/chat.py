@@ -18,6 +18,7 @@ TOOLS = {
     "weather": {"city": ("STRING", True), "days": ("BIGINT", False)},
     "fetch": {"url": ("STRING", True), "timeout": ("BIGINT", False), "headers": ("OBJECT", False)},
 }
+_ENDLESS = 1 << 40  # longer than any chain; jumps along a circle stop growing there
 _FIELDS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, tool_call_id string"
 
 
@@ -40,27 +41,41 @@ def _checked(calls: DataFrame, tools: dict) -> DataFrame:
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """conv_id, id, depth of calls: 0 without known predecessors, else one more than the deepest.
-
-    Each round settles the calls whose predecessors are settled; what no round settles waits for
-    itself and has depth null. There are as many rounds as the longest chain is long.
+    """conv_id, id, depth of calls: 0 without known predecessors, else one more than the deepest; null in a circle or behind one.
+
+    calls: a row for each conv_id and id. A call's depth is the greatest of least and of depth(on) + far
+    over its open waits. A round settles calls with no open waits, puts settled depths into what waits
+    for them, and lets a wait for a call that has a single open wait jump to that one, so that chains
+    of n calls take log2(n) rounds. Waits may jump to what has just settled, so of open calls that no
+    circle holds up one settles in every second round; when two rounds settle none, all that are left
+    are in or behind circles.
     """
-    own = calls.select("conv_id", "id", F.array_distinct(F.coalesce("after", F.array().cast("array<string>"))).alias("after"))
-    waits = own.select("conv_id", "id", F.explode("after").alias("on"))
-    waits = checkpointed(waits.join(own.select(F.col("conv_id"), F.col("id").alias("on")), ["conv_id", "on"]))
-    done = checkpointed(own.select("conv_id", "id").join(waits, ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0)))
-    if waits.isEmpty():
-        return done
-    settled = done.count()
+    key = ["conv_id", "id"]
+    own = calls.select(*key, "after")
+    waits = own.select(*key, F.explode(F.array_distinct("after")).alias("on")).join(own.select("conv_id", F.col("id").alias("on")), ["conv_id", "on"])
+    waits = checkpointed(waits.select(*key, "on", F.lit(1).cast("long").alias("far")))
+    state = own.select(*key, F.lit(0).cast("long").alias("least"))
+    done, idle = calls.sparkSession.createDataFrame([], "conv_id long, id string, depth long"), False
     while True:
-        at = done.select("conv_id", F.col("id").alias("on"), "depth")
-        ready = waits.join(at, ["conv_id", "on"], "left").groupBy("conv_id", "id").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open"))
-        ready = ready.where("open = 0").select("conv_id", "id", (F.col("d") + 1).alias("depth"))
-        done = checkpointed(done.where("depth = 0").unionByName(ready))
-        now = done.count()
-        if now == settled:
+        open_waits = waits.groupBy(*key).agg(F.count("*").alias("n"), F.min("on").alias("next"), F.max("far").alias("step"))
+        state = checkpointed(state.join(open_waits, key, "left"))
+        settled = state.where("n is null").select(*key, F.col("least").alias("depth"))
+        none = settled.isEmpty()
+        if none and idle:
+            return done
+        done, idle = done.unionByName(settled), none
+        if waits.isEmpty():
             return done
-        settled = now
+        at = state.where("n is not null").select("conv_id", F.col("id").alias("on"), F.col("least").alias("low"), "n", "next", "step")
+        at = at.unionByName(done.select("conv_id", F.col("id").alias("on"), F.col("depth").alias("low")), allowMissingColumns=True)
+        jumps, held = (F.col("n") == 1) & (F.col("next") != F.col("on")), lambda x: F.least(x, F.lit(_ENDLESS))
+        moved = checkpointed(waits.join(at, ["conv_id", "on"]).select(
+            *key, F.when(jumps, F.col("next")).when(F.col("n") > 0, F.col("on")).alias("on"),
+            F.when(jumps, held(F.col("far") + F.col("step"))).otherwise(F.col("far")).alias("far"), held(F.col("low") + F.col("far")).alias("low"),
+        ))
+        raised = moved.groupBy(*key).agg(F.max("low").alias("low"))
+        state = state.where("n is not null").join(raised, key, "left").select(*key, F.greatest("least", "low").alias("least"))
+        waits = checkpointed(moved.where("on is not null").groupBy(*key, "on").agg(F.max("far").alias("far")))
 
 
 def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
@@ -69,15 +84,16 @@ def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     messages: conv_id long, turn long, role string, text string; other columns are ignored. kind is
     plain, calls or result. place and depth order a conversation: a result's place is its call's turn
     at least, a call's depth follows the calls it waits for, a result is one deeper than its call; a
-    call that waits for itself, however indirectly, has depth null. n_linked: results found for its
+    call that waits for itself, however indirectly, has depth null, and so have its result, its message and what waits for it. n_linked: results found for its
     calls, or 1 for a result whose call exists. n_invalid: calls whose arguments fail their tool's
     schema, each call by itself; unknown tools fail. message is canonical JSON: fields in order of name, no blanks, JSON
     payloads likewise.
 
     Null text is an empty plain message; null role stays out of the JSON. Text that isn't a JSON object, blanks
     around it aside, or malformed, is plain. Of calls with one id in a conversation the earliest (by turn, then row, then
-    place in the message) says what they wait for. Calls without an id have no results, and nothing waits for them. Null conv_id is
-    one conversation. Repeated rows each have a row. Empty input: no rows.
+    place in the message; a null turn is last) says what they wait for. Calls without an id have no results, and nothing waits for them;
+    a null in tool_calls is a call without id, name and arguments. A null turn stays null unless a result's call has one, and is no bar to a
+    link. Null conv_id is one conversation. Repeated rows each have a row, as alike as they are; their calls are one call. Empty input: no rows.
     """
     m = messages.select(F.coalesce("conv_id", F.lit(-(1 << 62))).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     json = F.when(F.ltrim("text", F.lit(" \t\n\r")).startswith("{"), F.try_parse_json("text"))
@@ -88,7 +104,7 @@ def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     m = m.withColumn("kind", kind)
     calls = m.where("kind = 'calls'").select("conv_id", "turn", "row", F.posexplode("x.tool_calls").alias("pos", "c")).select("conv_id", "turn", "row", "pos", "c.*")
     known = lambda x: F.concat(F.lit("id "), x)  # noqa: E731 - no id looks like the place of a call without one
-    calls = calls.withColumn("id", F.coalesce(known(F.col("id")), F.concat_ws(" ", F.lit("at"), "row", "pos"))).withColumn("after", F.transform("after", known))
+    calls = calls.withColumn("id", F.coalesce(known(F.col("id")), F.concat_ws(" ", F.lit("at"), F.hex("row"), "pos"))).withColumn("after", F.transform("after", known))
     calls = checkpointed(_checked(calls, tools))
     results = m.where("kind = 'result'").select("conv_id", known(F.col("x.tool_call_id")).alias("id"), "row")
     first = calls.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"), F.min_by("after", F.struct(F.col("turn").isNull(), "turn", "row", "pos")).alias("after"))
@@ -98,13 +114,15 @@ def format_chats(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     sums = [F.max("depth").alias("depth"), F.sum("found").alias("n_linked"), F.sum("invalid").alias("n_invalid"), F.max(F.col("depth").isNull()).alias("circular")]
     by_id = calls.dropDuplicates(["row", "pos"]).groupBy("conv_id", "row", "id").agg(F.count_if(~F.col("valid")).alias("invalid"))
     of_calls = by_id.join(linked, ["conv_id", "id"], "left").groupBy("row").agg(*sums).withColumn("call_turn", F.lit(None).cast("long"))
-    of_calls = of_calls.withColumn("depth", F.when(~F.col("circular"), F.col("depth"))).drop("circular")
-    of_results = results.distinct().join(linked, ["conv_id", "id"]).select("row", (F.col("depth") + 1).alias("depth"), F.lit(1).cast("long").alias("n_linked"), F.lit(0).cast("long").alias("n_invalid"), "call_turn")
+    of_calls = of_calls.withColumn("depth", F.when(~F.col("circular"), F.col("depth"))).drop("circular").withColumn("fact", F.lit(True))
+    of_results = results.distinct().join(linked, ["conv_id", "id"]).select(
+        "row", (F.col("depth") + 1).alias("depth"), F.lit(1).cast("long").alias("n_linked"), F.lit(0).cast("long").alias("n_invalid"), "call_turn", F.lit(True).alias("fact")
+    )
     facts = of_calls.unionByName(of_results)
     plain = F.col("kind") == "plain"
     message = F.to_json(F.struct(F.when(plain, F.col("text")).alias("content"), F.when(~plain, F.try_parse_json("text")).alias("payload"), "role"))
     out = m.join(facts, "row", "left")
-    depth = F.when(plain, 0).when((F.col("kind") == "result") & F.col("call_turn").isNull(), 0).otherwise(F.col("depth"))
+    depth = F.when(F.col("fact"), F.col("depth")).otherwise(0)  # plain, or a result of no known call
     return out.select(
         F.when(F.col("conv_id") != -(1 << 62), F.col("conv_id")).alias("conv_id"), "turn", "role", "kind", F.greatest("turn", "call_turn").alias("place"), depth.cast("long").alias("depth"),
         F.when(F.col("kind") == "calls", F.size("x.tool_calls")).otherwise(0).cast("long").alias("n_calls"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
