@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,11 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's own shared folder; only where none is named (tests), a fresh local one."""
+    """The cluster's own shared folder. Where none is named: a fresh local one if driver and executors
+    are one process, as in tests, else an error, since executors would not see each other's files."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -51,11 +58,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as a Parquet table: smaller on disk, read by column."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    """Like checkpointed(), as a Parquet table: smaller on disk, read by column. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -65,8 +75,29 @@ def release(spark: SparkSession) -> None:
 
 
 def row_hash(*cols: str | Column) -> Column:
-    """Tells rows of the same id apart. Equal rows share it, and get equal results."""
-    return F.xxhash64(F.lit("row"), *[F.col(c) if isinstance(c, str) else c for c in cols])
+    """128 bits (binary) that tell rows of the same id apart. Equal rows share them, and get equal results."""
+    two = [F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols]) for seed in ("row", "row again")]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in two]))
+
+
+HEAVY = 1000  # a key is heavy if it has more than a 1000th of all rows; there are fewer than 1000 such keys
+SALTS = 64
+
+
+def joined_salted(many: DataFrame, few: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of many rows a key with one, so that no key is one task's work.
+
+    few: a row a key (written or checkpointed, as it is read twice); weight: of how many rows of many it
+    is the key. Rows of heavy keys are dealt over SALTS tasks; what is broadcast are under HEAVY keys.
+    """
+    total = few.agg(F.sum(weight)).first()[0] or 0
+    is_heavy = F.col(weight) * HEAVY > total
+    heavy = few.where(is_heavy).select(*keys, F.lit(True).alias("quarry_heavy"))
+    deal = F.pmod(F.xxhash64(*[c for c in many.columns if c not in keys]), F.lit(SALTS)).cast("int")
+    left = many.join(F.broadcast(heavy), keys, "left").withColumn("quarry_salt", F.when(F.col("quarry_heavy"), deal).otherwise(0)).drop("quarry_heavy")
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = few.withColumn("quarry_salt", F.explode(salts)).drop(weight)
+    return left.join(right, [*keys, "quarry_salt"]).drop("quarry_salt")
 
 
 def column_values(batch: pa.RecordBatch, name: str) -> list:

@@ -48,7 +48,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def postings(docs: DataFrame) -> DataFrame:
     """A row for each document and distinct line key: doc_id, row, k1, k2."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), "text")
-    return d.mapInArrow(_postings, "doc_id long, row long, k1 long, k2 long")
+    return d.mapInArrow(_postings, "doc_id long, row binary, k1 long, k2 long")
 
 
 def sharded(posted: DataFrame, shards: int) -> DataFrame:
@@ -95,8 +95,8 @@ def probed(posted: DataFrame, made: DataFrame, count: int, shards: int) -> DataF
     """The postings whose key its shard's filter may hold. Postings travel in packets, so that a
     filter is sent once for many of them; a hot shard has more packets, not larger ones."""
     salts = max(1, count // (shards * PACKET))
-    packets = posted.groupBy("shard", F.pmod("row", F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("doc_id", "row", "k1", "k2")).alias("packet"))
-    return packets.join(made, "shard").select("filter", "packet").mapInArrow(_probe, "doc_id long, row long, k1 long, k2 long")
+    packets = posted.groupBy("shard", F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("doc_id", "row", "k1", "k2")).alias("packet"))
+    return packets.join(made, "shard").select("filter", "packet").mapInArrow(_probe, "doc_id long, row binary, k1 long, k2 long")
 
 
 def decisions(posted: DataFrame, refs: DataFrame, made: DataFrame, count: int, least_docs: int, shards: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _rebuilt(names: tuple[str, str, str]):
                     stay = lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-                kept.append("\n".join(stay) if drop else text or "")
+                kept.append("\n".join(stay) if drop else text)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n_lines), pa.array(n_dropped), pa.array(kept, pa.string())], [*b.schema.names[2:], *names])
 
     return batches
@@ -129,7 +129,7 @@ NAMES = ("n_lines", "n_dropped", "kept")
 
 
 def without(docs: DataFrame, lost: DataFrame, keep: list[str], names: tuple[str, str, str] = NAMES) -> DataFrame:
-    """keep (columns of docs), n_lines, n_dropped, kept: the text without its lost lines."""
+    """keep (columns of docs), n_lines, n_dropped, kept: the text without its lost lines. Texts are shuffled once."""
     d = docs.select(*keep, F.col("text").alias("quarry_text"), row_hash(F.col("doc_id"), F.col("text")).alias("quarry_row"))
     lost = lost.select(F.col("row").alias("quarry_row"), F.col("drop").alias("quarry_drop"))
     d = d.join(lost.hint("shuffle_hash"), "quarry_row", "left").select("quarry_text", "quarry_drop", *keep)
@@ -143,7 +143,7 @@ def dedup_lines(docs: DataFrame, keep: list[str], least_docs: int = LEAST_DOCS,
     Lines are split at \\n; a key is the line without blanks at its ends, A-Z as a-z. Keys of 20 code
     points or more in at least 3 documents (rows, whatever their ids) go, except in the largest
     doc_id holding them; rows that share that id all keep them. Null or empty text: one empty line,
-    kept as an empty text. Null ids are below all others; if all holders' ids are null none drops.
+    kept as it is (null or empty). Null ids are below all others; if all holders' ids are null none drops.
     Empty input: no rows. shards: at least so many; they do not change the result.
     """
     posted = checkpointed(postings(docs))
@@ -157,58 +157,100 @@ def dedup_lines(docs: DataFrame, keep: list[str], least_docs: int = LEAST_DOCS,
 class LineIndex:
     """Incremental, reversible line dedup: documents come and go, counts and filters follow.
 
-    folder has a log of postings with a sign (+1 came, -1 gone) and one filter table per version.
-    Keys that a change carries over the threshold, up or down, enter or leave their shard's filter;
-    a filter that gets full is built anew from the exact table. Deleting what was inserted restores
-    all earlier decisions. Writes are whole new tables; a failed update leaves the version before.
-    version: that of an index in folder to go on with; 0 begins a new one.
+    folder holds the exact reference table, refs (shard, k1, k2, doc_id, row, copies), and a cuckoo
+    filter for each shard. A change reads, merges and writes anew only the shards that its lines fall
+    into; the manifest of a version names, for each shard, the version that wrote it last. Keys that
+    a change carries over the threshold, up or down, enter or leave their shard's filter; one that
+    gets full is built anew from its shard's counts. When shards hold more than twice SHARD_POSTINGS
+    on average their number doubles and all are dealt anew, so shards and filters stay small and the
+    cost is spread over the changes that led there. Deleting what was inserted restores all earlier
+    decisions. A failed change leaves the version before. Null or empty texts post nothing; a change
+    without documents makes a version that equals the one before. version: that of an index in
+    folder to go on with; 0 begins a new one. rows_read: of refs, by the last change or apply.
     """
 
     def __init__(self, spark, folder: str, shards: int = SHARDS, least_docs: int = LEAST_DOCS, version: int = 0):
-        self.spark, self.folder, self.shards, self.least_docs = spark, folder.rstrip("/"), shards, least_docs
-        self.version = version
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.folder}/log-{i}" for i in range(1, self.version + 1)])
-
-    def counts(self) -> DataFrame:
-        """The exact table of what is in the index now."""
-        live = self._log().groupBy("shard", "k1", "k2", "doc_id", "row").agg(F.sum("sign").alias("copies")).where("copies > 0")
-        return live.groupBy("shard", "k1", "k2").agg(F.sum("copies").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-
-    def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/filters-{self.version}")
-
-    def _turns(self, latest: DataFrame) -> DataFrame:
-        """Keys that the latest change carries over the threshold: shard, k1, comes (or goes)."""
-        signs = latest.select("*", F.lit(True).alias("new"))
-        if self.version > 1:
-            before = self.spark.read.parquet(*[f"{self.folder}/log-{i}" for i in range(1, self.version)])
-            before = before.join(latest.select("shard", "k1", "k2").distinct(), ["shard", "k1", "k2"], "left_semi")
-            signs = signs.unionByName(before.withColumn("new", F.lit(False)))
-        old = F.coalesce(F.sum(F.when(~F.col("new"), F.col("sign"))), F.lit(0))
-        live = signs.groupBy("shard", "k1", "k2", "doc_id", "row").agg(old.alias("was"), F.sum("sign").alias("now"))
-        per = live.groupBy("shard", "k1", "k2").agg(*[F.sum(F.greatest(c, F.lit(0))).alias(c) for c in ("was", "now")])
-        comes = F.col("now") >= self.least_docs
-        return per.where((F.col("was") >= self.least_docs) != comes).select("shard", "k1", comes.alias("comes"))
+        self.spark, self.folder, self.least_docs = spark, folder.rstrip("/"), least_docs
+        self.version, self.shards, self.at, self.rows_read = version, shards, {}, 0
+        if version:
+            for r in spark.read.parquet(f"{self.folder}/manifest-{version}").collect():  # a row a shard
+                self.shards = r["shards"]
+                if r["shard"] is not None:
+                    self.at[r["shard"]] = (r["version"], r["n"])
+
+    def _of(self, kind: str, schema: str, shards: list[int] | None) -> DataFrame:
+        """Rows of the given (or all) shards of a table, each from the version that wrote it last."""
+        out = self.spark.createDataFrame([], schema)
+        by: dict[int, list[int]] = {}
+        for s in self.at if shards is None else shards:
+            if s in self.at:
+                by.setdefault(self.at[s][0], []).append(s)
+        for v, mine in sorted(by.items()):
+            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}-{v}").where(F.col("shard").isin(mine)))
+        return out
+
+    def refs(self, shards: list[int] | None = None) -> DataFrame:
+        return self._of("refs", "shard int, k1 long, k2 long, doc_id long, row binary, copies long", shards)
+
+    def filters(self, shards: list[int] | None = None) -> DataFrame:
+        return self._of("filters", "shard int, filter binary", shards)
+
+    def counts(self, shards: list[int] | None = None) -> DataFrame:
+        """shard, k1, k2, n_docs, last_doc of what is in the index now."""
+        return self.refs(shards).groupBy("shard", "k1", "k2").agg(F.sum("copies").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+
+    def _touched(self, posted: DataFrame) -> list[int]:
+        """The shards of the postings: at most as many as there are."""
+        shards = sorted(r["shard"] for r in posted.select("shard").distinct().collect())
+        self.rows_read = sum(self.at[s][1] for s in shards if s in self.at)
+        return shards
+
+    def _commit(self, refs: DataFrame, version: int, at: dict[int, tuple[int, int]]) -> None:
+        """Writes refs, each shard by a few tasks, and adds the shards' sizes to at."""
+        refs.repartition("shard", F.pmod(F.xxhash64("row"), F.lit(4))).write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/refs-{version}")
+        made = self.spark.read.schema("shard int, k1 long").parquet(f"{self.folder}/refs-{version}")
+        at.update({r["shard"]: (version, r["n"]) for r in made.groupBy("shard").agg(F.count("*").alias("n")).collect()})
 
     def _change(self, docs: DataFrame, sign: int) -> LineIndex:
-        n = self.version + 1
-        sharded(postings(docs), self.shards).withColumn("sign", F.lit(sign)).write.mode("overwrite").parquet(f"{self.folder}/log-{n}")
-        latest = self.spark.read.parquet(f"{self.folder}/log-{n}")
-        old = self.filters() if self.version else self.spark.createDataFrame([], "shard int, filter binary")
-        self.version = n
-        try:
-            new = checkpointed(old.groupBy("shard").cogroup(self._turns(latest).groupBy("shard")).applyInPandas(_updated, "shard int, filter binary"))
-            full = new.where("filter is null").select("shard")
-            if not full.isEmpty():
-                new = new.where("filter is not null").unionByName(filters(self.counts().join(full, "shard", "left_semi"), self.least_docs))
-            new.write.mode("overwrite").parquet(f"{self.folder}/filters-{n}")
-        except BaseException:
-            self.version = n - 1
-            raise
+        n, key = self.version + 1, ["shard", "k1", "k2"]
+        posted = checkpointed(sharded(postings(docs), self.shards).groupBy(*key, "doc_id", "row").agg((F.count("*") * sign).alias("copies")))
+        shards = self._touched(posted)
+        old = self.refs(shards)
+        merged = old.unionByName(posted).groupBy(*key, "doc_id", "row").agg(F.sum("copies").alias("copies")).where("copies > 0")
+        at = {s: v for s, v in self.at.items() if s not in set(shards)}
+        self._commit(merged, n, at)
+        now = self.spark.read.schema(old.schema).parquet(f"{self.folder}/refs-{n}")
+        sides = old.select(*key, F.col("copies").alias("was"), F.lit(0).cast("long").alias("now")).unionByName(now.select(*key, F.lit(0).cast("long").alias("was"), F.col("copies").alias("now")))
+        per = sides.join(posted.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
+        comes = F.col("now") >= self.least_docs
+        turns = per.where((F.col("was") >= self.least_docs) != comes).select("shard", "k1", comes.alias("comes"))
+        new = checkpointed(self.filters(shards).groupBy("shard").cogroup(turns.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary"))
+        full = [r["shard"] for r in new.where("filter is null").select("shard").collect()]
+        if full:
+            again = now.where(F.col("shard").isin(full)).groupBy(*key).agg(F.sum("copies").alias("n_docs"))
+            new = new.where("filter is not null").unionByName(filters(again, self.least_docs))
+        new.write.mode("overwrite").parquet(f"{self.folder}/filters-{n}")
+        self._publish(n, at, self.shards)
+        total = sum(size for _, size in self.at.values())
+        if total > 2 * SHARD_POSTINGS * self.shards:
+            self._grow(total)
         return self
 
+    def _publish(self, version: int, at: dict[int, tuple[int, int]], shards: int) -> None:
+        rows = [(shards, s, v, size) for s, (v, size) in at.items()] or [(shards, None, None, None)]
+        self.spark.createDataFrame(rows, "shards int, shard int, version int, n long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest-{version}")
+        self.version, self.at, self.shards = version, at, shards
+
+    def _grow(self, total: int) -> None:
+        n, shards = self.version + 1, self.shards
+        while total > SHARD_POSTINGS * shards:
+            shards *= 2
+        at: dict[int, tuple[int, int]] = {}
+        self._commit(sharded(self.refs().drop("shard"), shards), n, at)
+        now = self.spark.read.schema("shard int, k1 long, k2 long, copies long").parquet(f"{self.folder}/refs-{n}")
+        filters(now.groupBy("shard", "k1", "k2").agg(F.sum("copies").alias("n_docs")), self.least_docs).write.mode("overwrite").parquet(f"{self.folder}/filters-{n}")
+        self._publish(n, at, shards)
+
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._change(docs, 1)
 
@@ -219,7 +261,8 @@ class LineIndex:
     def apply(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """docs without the lines that the index holds to be repeated; see dedup_lines."""
         posted = checkpointed(sharded(postings(docs), self.shards))
-        return without(docs, decisions(posted, self.counts(), self.filters(), posted.count(), self.least_docs, self.shards), keep)
+        shards = self._touched(posted)
+        return without(docs, decisions(posted, self.counts(shards), self.filters(shards), posted.count(), self.least_docs, self.shards), keep)
 
 
 def sha256(text: str) -> str:

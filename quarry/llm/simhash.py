@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     blocks: of the grid, 4 or more; by default as many as the number of fingerprints asks for.
     """
     rows = docs.select("doc_id", row_hash("doc_id", "text").alias("row"), "text")
-    d = checkpointed(rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long"))
+    d = checkpointed(rows.mapInArrow(_fingerprints, "doc_id long, row binary, fp long"))
     reps = checkpointed(d.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = connected(links(reps.select("fp"), blocks or blocks_for(reps.count())), "a", "b")
     reps = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

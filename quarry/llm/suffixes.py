@@ -2,9 +2,11 @@
 
 Which suffixes can repeat at all is found first: each 200-byte window is known by its anchor, the
 48-byte string in it with the least hash, and consecutive windows with one anchor form a span. A
-window can only repeat if its anchor does. The suffixes of spans with repeated anchors are then
-range-partitioned by the anchor's leading bytes, sorted by multikey quicksort in their buckets,
-and neighbours compared. Splitters fall between leading bytes, so equal strings share a bucket.
+window can only repeat if its anchor does. Of spans that are equal by digest two go on, so digests
+prune but do not decide. The suffixes of what is left are range-partitioned by the anchor's leading
+bytes at sampled splitters, sorted by multikey quicksort in their buckets, and neighbours compared.
+Splitters fall between anchors, and equal strings have equal anchors, so there is nothing left to
+compare across boundaries. What the sort finds goes back to all spans by their digest.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_hash, text_runs, written
+from quarry.llm.common import joined_salted, row_hash, text_runs, written
 
 LENGTH = 200
 ANCHOR = 48
-HOT = 4096  # different spans with one anchor beyond which their windows are matched by digest
+HOT = 4096  # different spans with one anchor beyond which a bucket cannot hold them; their windows are matched by 128-bit digests
 _CHUNK = 1 << 19
 _BATCH = 8 << 20  # bytes of spans sorted together, at least
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -110,35 +112,44 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def multikey_quicksort(words: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes share their first length bytes with another of their group.
+    """The order of the suffixes by group, then by their first length bytes.
 
     words: the big-endian 8 bytes at each place of the text. Each round splits every open group by
     a pivot of its own into less, equal and greater at the group's depth; the equal go one word
-    deeper, single suffixes are done. length is a multiple of 8.
+    deeper. Single suffixes, and groups equal to the full length, have their final place. length is
+    a multiple of 8.
     """
-    same = np.zeros(at.size, bool)
     ids = np.argsort(group, kind="stable")
     group = group[ids]
+    out, place = np.empty(at.size, np.int64), np.arange(at.size)
     depth = np.zeros(at.size, np.int64)
     while ids.size:
         edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         count = np.diff(np.r_[edge, group.size])
-        alone = np.repeat(count == 1, count)
-        full = ~alone & (depth >= length)
-        same[ids[full]] = True
-        keep = ~alone & ~full
-        ids, group, depth = ids[keep], group[keep], depth[keep]
+        keep = np.repeat(count > 1, count) & (depth < length)
+        out[place[~keep]] = ids[~keep]
+        ids, group, depth, place = ids[keep], group[keep], depth[keep], place[keep]
         if not ids.size:
             break
         edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         count = np.diff(np.r_[edge, group.size])
         w = words[at[ids] + depth]
         pivot = np.repeat(w[edge + count // 2], count)
-        side = (w > pivot).astype(np.int64) * 2 + (w == pivot)
+        side = np.where(w > pivot, 2, w == pivot)
         number = np.repeat(np.arange(edge.size) * 3, count) + side
         order = np.argsort(number, kind="stable")
         ids, group = ids[order], number[order]
         depth = depth[order] + 8 * (side[order] == 1)
+    return out
+
+
+def equal_neighbours(words: np.ndarray, at: np.ndarray, group: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes share their first length bytes with a neighbour of their group in the order."""
+    pair = np.flatnonzero(group[order[1:]] == group[order[:-1]])
+    for depth in range(0, length, 8):
+        pair = pair[words[at[order[pair]] + depth] == words[at[order[pair + 1]] + depth]]
+    same = np.zeros(at.size, bool)
+    same[order[pair]] = same[order[pair + 1]] = True
     return same
 
 
@@ -152,7 +163,8 @@ def repeated_windows(segments: list[tuple[int, int, int, bytes]]) -> np.ndarray:
     at = np.repeat(np.cumsum(size) - size, n) + rank
     anchor = np.unique([s[0] for s in segments], return_inverse=True)[1]
     off = np.array([s[2] for s in segments])[owner] - rank  # equal windows have their anchor at the same place
-    return multikey_quicksort(words, at, anchor[owner] * LENGTH + off, LENGTH)
+    group = anchor[owner] * LENGTH + off
+    return equal_neighbours(words, at, group, multikey_quicksort(words, at, group, LENGTH), LENGTH)
 
 
 def _true_runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -161,21 +173,23 @@ def _true_runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket, sorted by leading bytes and anchor: sorts the suffixes of whole anchor groups."""
+    """A bucket, sorted by leading bytes and anchor: sorts the suffixes of whole anchor groups. Found
+    ranges, from the span's start, come once for each content."""
     held: list[tuple] = []
     total = 0
 
     def flush() -> pa.RecordBatch:
-        same = repeated_windows([(x[2], x[3], x[4], x[5]) for x in held])
+        same = repeated_windows([(anchor, n, off, cut) for anchor, _, _, n, off, cut in held])
         out, i = [], 0
-        for row, start, _, n, _, _ in held:
-            out += [(row, start + a, start + b - 1 + LENGTH) for a, b in _true_runs(same[i : i + n])]
+        for anchor, content, first, n, _, _ in held:
+            if first:
+                out += [(anchor, content, a, b - 1 + LENGTH) for a, b in _true_runs(same[i : i + n])]
             i += n
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["row", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, _FOUND)], ["anchor", "content", "lo", "hi"])
 
     for b in batches:
         for x in zip(*[c.to_pylist() for c in b.columns]):
-            if total > _BATCH and x[2] != held[-1][2]:
+            if total > _BATCH and x[0] != held[-1][0]:
                 yield flush()
                 held, total = [], 0
             held.append(x)
@@ -184,32 +198,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+_FOUND = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+
 def _lead(cut: bytes, off: int) -> int:
     """The anchor's first 8 bytes as a number in the order of the bytes."""
     return int.from_bytes(cut[off : off + 8], "big") - (1 << 63)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "start", "anchor", "n", "off", "bytes", "lead"]
+    names = ["anchor", "content", "first", "n", "off", "bytes", "lead", "hot"]
     for b in batches:
-        for _, row, text, spans in zip(*[c.to_pylist() for c in b.columns]):
-            cols = [[s[k] for s in spans] for k in ("start", "anchor", "n", "off")]
+        for text, spans in zip(*[c.to_pylist() for c in b.columns]):
+            cols = {k: [s[k] for s in spans] for k in ("anchor", "content", "first", "n", "off", "hot")}
             cut = [text[s["start"] : s["start"] + s["n"] + LENGTH - 1] for s in spans]
-            lead = [_lead(c, o) for c, o in zip(cut, cols[3])]
-            arrays = [pa.array([row] * len(spans)), *map(pa.array, cols[:2]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cut, pa.binary()), pa.array(lead, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            lead = [_lead(c, o) for c, o in zip(cut, cols["off"])]
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
+            values = (cols["anchor"], cols["content"], cols["first"], cols["n"], cols["off"], cut, lead, cols["hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row, start, n, cut in zip(*[c.to_pylist() for c in b.columns]):
+        for anchor, content, n, cut in zip(*[c.to_pylist() for c in b.columns]):
             two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(cut[i : i + LENGTH]) for i in range(n)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * n), pa.array(np.arange(start, start + n)), pa.array(two[:, 0]), pa.array(two[:, 1])], ["row", "lo", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([content] * n), pa.array(range(n), pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], ["anchor", "content", "lo", "d1", "d2"])
 
 
-def _merged(ranges: list[dict]) -> list[list[int]]:
+def _merged(spans: list[dict]) -> list[list[int]]:
     out: list[list[int]] = []
-    for r in sorted((x["lo"], x["hi"]) for x in ranges or ()):
+    for r in sorted((s["start"] + x["lo"], s["start"] + x["hi"]) for s in spans or () for x in s["ranges"]):
         if out and r[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], r[1])
         else:
@@ -233,34 +251,36 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(d: DataFrame) -> DataFrame:
-    """row, lo, hi: byte ranges that cover every repeated 200-byte string. d: doc_id, row, bytes.
+    """row, start, ranges (lo, hi from start): they cover every repeated 200-byte string. d: row, bytes.
 
     Texts are shuffled by row once: the exchange also serves the caller's join of d by row.
     """
-    spans = d.select("row", "bytes").mapInArrow(_spans, "row long, start long, n int, off int, anchor long, content long")
-    seen = spans.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("content") != F.max("content")).alias("mixed")).where("times > 1")
-    seen = written(seen.select("anchor", "mixed"))
-    cand = written(spans.join(seen.hint("shuffle_hash"), "anchor"))
-    whole = [F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("hi")]
-    mixed = cand.where("mixed")
-    least = F.min(F.struct("row", "start", "n", "off")).alias("x")
-    reps = written(mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), least).select("anchor", "content", "times", "x.*"))
-    out = cand.where("not mixed").select("row", *whole)
-    out = out.unionByName(mixed.join(reps.where("times > 1").select("anchor", "content"), ["anchor", "content"]).select("row", *whole))
-    kinds = written(reps.groupBy("anchor").agg((F.count("*") > HOT).alias("hot")))
-    any_hot = not kinds.where("hot").isEmpty()
-    per = reps.join(kinds, "anchor").groupBy("row", "hot").agg(F.collect_list(F.struct("start", "anchor", "n", "off")).alias("spans"))
-    cut = d.join(per.hint("shuffle_hash"), "row").select("doc_id", "row", "bytes", "spans", "hot")
-    types = "row long, start long, anchor long, n int, off int, bytes binary, lead long"
-    cold = cut.where("not hot").select("doc_id", "row", "bytes", "spans").mapInArrow(_cut_out, types)
-    buckets = cold.repartitionByRange("lead", "anchor").sortWithinPartitions("lead", "anchor")
-    out = out.unionByName(buckets.select("row", "start", "anchor", "n", "off", "bytes").mapInArrow(_compare, "row long, lo long, hi long"))
+    spans = d.select("row", "bytes").mapInArrow(_spans, "row binary, start long, n int, off int, anchor long, content long")
+    seen = written(spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
+    cand = written(spans.join(seen.hint("shuffle_hash"), "anchor", "left_semi"))
+    where = F.struct("row", "start", "n", "off")
+    reps = cand.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(where).alias("least"), F.max(where).alias("most"))
+    reps = written(reps)
+    kinds = written(reps.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("hot")))
+    any_hot = not kinds.isEmpty()
+    two = F.array(F.struct("least.*", F.lit(True).alias("first")), F.when(F.col("times") > 1, F.struct("most.*", F.lit(False).alias("first"))))
+    each = reps.select("anchor", "content", F.explode(F.array_compact(two)).alias("x")).select("anchor", "content", "x.*")
+    each = each.join(kinds, "anchor", "left") if any_hot else each.withColumn("hot", F.lit(None).cast("boolean"))
+    per = each.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "first", "start", "n", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
+    cut = d.join(per.hint("shuffle_hash"), "row").select("bytes", "spans")
+    cut = cut.mapInArrow(_cut_out, "anchor long, content long, first boolean, n int, off int, bytes binary, lead long, hot boolean")
+    cut = written(cut) if any_hot else cut
+    buckets = cut.where("not hot").repartitionByRange("lead", "anchor").sortWithinPartitions("lead", "anchor")
+    found = buckets.select("anchor", "content", "first", "n", "off", "bytes").mapInArrow(_compare, "anchor long, content long, lo int, hi int")
     if any_hot:
-        hot = cut.where("hot").select("doc_id", "row", "bytes", "spans").mapInArrow(_cut_out, types).select("row", "start", "n", "bytes")
-        w = hot.mapInArrow(_digests, "row long, lo long, d1 long, d2 long").distinct()
-        twice = w.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1")
-        out = out.unionByName(w.join(twice, ["d1", "d2"]).select("row", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    return out
+        w = cut.where("hot and first").select("anchor", "content", "n", "bytes").mapInArrow(_digests, "anchor long, content long, lo int, d1 long, d2 long")
+        w = written(w.join(reps.select("anchor", "content", "times"), ["anchor", "content"]))
+        twice = written(w.groupBy("d1", "d2").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 1"))
+        again = joined_salted(w.select("anchor", "content", "lo", "d1", "d2"), twice.select("d1", "d2", "rows"), ["d1", "d2"], "rows")
+        found = found.unionByName(again.select("anchor", "content", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    verdicts = found.groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    verdicts = written(verdicts.join(reps.select("anchor", "content", "times"), ["anchor", "content"]))
+    return joined_salted(cand.select("row", "start", "anchor", "content"), verdicts, ["anchor", "content"], "times").select("row", "start", "ranges")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -272,7 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ids. Null ids are documents like others. Empty input: no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("bytes"))
-    ranges = repeated_ranges(d).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(d).groupBy("row").agg(F.collect_set(F.struct("start", "ranges")).alias("ranges"))
     both = d.join(ranges.hint("shuffle_hash"), "row", "left").select("doc_id", "bytes", "ranges")
     return both.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo:long,hi:long>>")
 

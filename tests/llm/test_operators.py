@@ -111,12 +111,24 @@ def test_suffixes_chunks(monkeypatch):
     assert (covered[: 5000 - 199] == 1).all() and (covered[5000 - 199 :] == 0).all()
 
 
+def test_multikey_quicksort_orders_suffixes():
+    rng = random.Random(6)
+    text = bytes(rng.choice(b"ab") for _ in range(3000)) + b"a" * 400 + b"ab" * 300
+    words, at = suffixes._words(np.frombuffer(text, np.uint8)), np.arange(len(text) - 200)
+    group = at % 3
+    order = suffixes.multikey_quicksort(words, at, group, 200)
+    keys = [(int(group[i]), text[i : i + 200]) for i in order]
+    assert sorted(order.tolist()) == at.tolist() and keys == sorted(keys)
+    seen = collections.Counter(keys)
+    assert suffixes.equal_neighbours(words, at, group, order, 200).tolist() == [seen[i % 3, text[i : i + 200]] > 1 for i in at.tolist()]
+
+
 # 3 line dedup
 
 
 def test_lines_edges(odd, none):
     got = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in lines.dedup_lines(odd, ["doc_id"]).collect())
-    assert got[1, 1, 0, ""] == 1 and got[2, 1, 0, ""] == 1 and got[None, 1, 0, ""] == 2
+    assert got[1, 1, 0, ""] == 1 and got[2, 1, 0, None] == 1 and got[None, 1, 0, None] == 2
     assert got[10, 3, 2, ""] == 1 and got[11, 1, 1, ""] == 1 and got[12, 2, 0, "\tline one is long enough to count\nx"] == 1
     assert lines.dedup_lines(none, none.columns, names=("a1", "a2", "a3")).count() == 0
 
@@ -150,12 +162,42 @@ def test_line_index_filters_follow(spark, tmp_path):
     hot = {r["k1"] for r in again.counts().where("n_docs >= 3").collect()}
     for r in again.filters().collect():
         f = CuckooFilter.from_bytes(r["filter"])
-        mine = np.array([k for k in hot if k % 2 == r["shard"]], np.int64)
+        mine = np.array([k for k in hot if k % again.shards == r["shard"]], np.int64)
         assert f.contains(mine).all() and np.count_nonzero(f.slots) == mine.size
     index.delete(make([i for i in left if i >= 4]))
     assert not index.apply(make(left), ["doc_id"]).where("n_dropped > 0").count()
 
 
+def test_line_index_reads_what_it_touches(spark, tmp_path, monkeypatch):
+    """A small change reads its own shards; shards double as the index grows; decisions are those of one pass."""
+    monkeypatch.setattr(lines, "SHARD_POSTINGS", 100)
+    make = lambda ids: spark.createDataFrame([(i, f"a line that is in every document\nline number {i // 4} is shared by four\nown line of document number {i}") for i in ids], "doc_id long, text string")
+    index = lines.LineIndex(spark, str(tmp_path), shards=2)
+    index.insert(make(range(2000)))
+    assert index.shards == 64 and index.refs().count() == 6000 and sum(n for _, n in index.at.values()) == 6000
+    index.insert(make([2000]))
+    assert 0 < index.rows_read < 6000 / 2 and index.refs().count() == 6003
+    index.delete(make([2000, 3, 1999]))
+    left = [i for i in range(1999) if i != 3]
+    want = {tuple(r) for r in lines.dedup_lines(make(left), ["doc_id"]).collect()}
+    assert {tuple(r) for r in index.apply(make(left), ["doc_id"]).collect()} == want
+    again = lines.LineIndex(spark, str(tmp_path), version=index.version)
+    assert (again.shards, again.at) == (index.shards, index.at)
+    assert {tuple(r) for r in again.apply(make(range(4, 8)), ["doc_id"]).collect()} == {t for t in want if 4 <= t[0] < 8}
+
+
+def test_line_index_edges(spark, odd, none, tmp_path):
+    index = lines.LineIndex(spark, str(tmp_path), shards=4)
+    assert index.insert(none).refs().count() == 0 and index.apply(none, none.columns).count() == 0
+    index.insert(odd)
+    names = ("n1", "n2", "n3")
+    got = collections.Counter(tuple(r) for r in index.apply(odd, ["doc_id"]).collect())
+    assert got == collections.Counter(tuple(r) for r in lines.dedup_lines(odd, ["doc_id"]).collect())
+    assert lines.dedup_lines(odd, odd.columns, names=names).columns == [*odd.columns, *names]
+    index.delete(odd)
+    assert index.refs().count() == 0 and index.filters().count() <= 4 and not index.apply(odd, ["doc_id"]).where("n_dropped > 0").count()
+
+
 def test_line_shards_do_not_matter(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want = {tuple(r) for r in lines.dedup_lines(docs, ["doc_id"]).collect()}
@@ -368,6 +410,119 @@ def test_chat_objects_after_blanks(spark):
     assert [json.loads(g[5])["content"] for g in got[2:]] == [s for _, _, s in rows[2:]] and all(g[:5] == ("plain", 0, 0, 0, 0) for g in got[2:])
 
 
+def plain_chats(rows):
+    """What format_chats says, one conversation at a time in plain Python. rows: conv_id, turn, role, text."""
+
+    def payload(text):
+        if not (text or "").lstrip(" \t\n\r").startswith("{"):
+            return None
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) else None
+
+    def canonical(x):
+        return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    def valid(call):
+        tool, args = chat.TOOLS.get(call.get("name")), call.get("arguments")
+        if tool is None or not isinstance(args, dict):
+            return False
+        kind = {str: "STRING", int: "BIGINT", dict: "OBJECT", bool: "BOOLEAN", list: "ARRAY", type(None): "VOID"}
+        return all(a in tool and tool[a][0] == kind.get(type(v), "") for a, v in args.items()) and all(a in args for a, (_, need) in tool.items() if need)
+
+    seen, out = {}, []
+    for r in rows:
+        seen.setdefault(tuple(r), None)
+    order = lambda r: (r[1] is None, r[1] or 0)  # noqa: E731 - no two messages with a call of one id share a turn
+    calls, first, results = {}, {}, collections.Counter()
+    for r in sorted(seen, key=order):
+        x = payload(r[3])
+        if x is not None and isinstance(x.get("tool_calls"), list) and x["tool_calls"]:
+            calls[r] = [c or {} for c in x["tool_calls"]]
+            for c in calls[r]:
+                if c.get("id") is not None:
+                    first.setdefault((r[0], c["id"]), (r[1], c.get("after")))
+    for r in rows:
+        x = payload(r[3])
+        if x is not None and tuple(r) not in calls and x.get("tool_call_id") is not None:
+            results[r[0], x["tool_call_id"]] += 1
+    depth = {}
+    for k in first:  # iterative: what is settled once all known predecessors are
+        depth[k] = None
+    before = {k: {(k[0], a) for a in after or () if a is not None and (k[0], a) in first} for k, (_, after) in first.items()}
+    left = True
+    while left:
+        left = [k for k, p in before.items() if depth[k] is None and all(depth[q] is not None for q in p)]
+        for k in left:
+            depth[k] = max((depth[q] + 1 for q in before[k]), default=0)
+    def anonymous(r, c):
+        known = {(r[0], a) for a in c.get("after") or () if (r[0], a) in first}
+        return None if any(depth[q] is None for q in known) else max((depth[q] + 1 for q in known), default=0)
+
+    for r in rows:
+        r, x = tuple(r), payload(r[3])
+        role = {} if r[2] is None else {"role": r[2]}
+        if r in calls:
+            d = [anonymous(r, c) if c.get("id") is None else depth[r[0], c["id"]] for c in calls[r]]
+            linked = sum(results[r[0], i] for i in {c["id"] for c in calls[r] if c.get("id") is not None})
+            out.append((r[0], r[1], r[2], "calls", r[1], None if None in d else max(d), len(d), linked, sum(not valid(c) for c in calls[r]), canonical({"payload": x} | role)))
+        elif x is not None and x.get("tool_call_id") is not None:
+            k = (r[0], x["tool_call_id"])
+            place = max([t for t in (r[1], first[k][0]) if t is not None], default=None) if k in first else r[1]
+            d = 0 if k not in first else None if depth[k] is None else depth[k] + 1
+            out.append((r[0], r[1], r[2], "result", place, d, 0, int(k in first), 0, canonical({"payload": x} | role)))
+        else:
+            out.append((r[0], r[1], r[2], "plain", r[1], 0, 0, 0, 0, canonical({"content": r[3] or ""} | role)))
+    return out
+
+
+def test_chat_brute_force(spark):
+    """Thousands of calls: missing ids, null turns, repeated ids and rows, rings, chains, fans, a hot conversation, a long text."""
+    rng = random.Random(12)
+    rows = []
+    for conv in [None, *range(120)]:
+        many = 1500 if conv == 7 else rng.randrange(0, 24)
+        ids = [f"c{i}" for i in range(many)]
+        for turn in range(many):
+            calls = []
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                call = {"name": rng.choice([*chat.TOOLS, "nope"]), "arguments": rng.choice([{"query": "x"}, {"query": "x", "limit": 3}, {"city": "é\"\\", "days": "3"}, {"url": "u", "headers": {"b": 1, "a": [None, True]}}, {"expression": "1"}, {}, [1], None])}
+                if rng.random() < 0.9:
+                    call["id"] = ids[turn] if rng.random() < 0.9 else f"{ids[turn]}x"
+                if rng.random() < 0.7:
+                    back = [f"c{turn - 1}"] if conv == 7 else rng.sample(ids, min(len(ids), rng.randrange(0, 3)))
+                    call["after"] = back if rng.random() < 0.95 or conv == 7 else [*back, None, "unknown"]
+                calls.append(call if rng.random() < 0.98 else None)
+            at = None if turn == many - 1 and rng.random() < 0.3 else 2 * turn
+            blank = rng.choice(["", "", " ", "\n\t "])
+            rows.append((conv, at, rng.choice(["assistant", None]), blank + json.dumps({"tool_calls": calls, "note": "é"}, ensure_ascii=rng.random() < 0.5)))
+            if rng.random() < 0.6:
+                rows.append((conv, rng.choice([2 * turn + 1, 0, None]), "tool", json.dumps({"tool_call_id": rng.choice([ids[turn], "zz"]), "content": rng.choice([1, "ok", [True, None]])})))
+            if rng.random() < 0.1:
+                rows.append(rows[-1])
+        rows += [(conv, 10_000, "user", t) for t in (None, "", "{broken", '{"a": 1}', "[1]", "x" * rng.randrange(50))]
+    rows.append((5, 1, "user", "word " * 200_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = collections.Counter(tuple(r) for r in chat.format_chats(df.repartition(5)).collect())
+    want = collections.Counter(plain_chats(rows))
+    assert got == want
+    assert max(r[5] for r in want if r[5] is not None) > 8 and sum(r[5] is None for r in want) > 20
+
+
+def test_chat_depths_take_few_rounds(spark, monkeypatch):
+    """A chain of 3000 calls, a ring of 5, a fan behind both."""
+    waits = {f"c{i}": [f"c{i - 1}"] for i in range(1, 3000)} | {f"r{i}": [f"r{(i + 1) % 5}"] for i in range(5)} | {"c0": [], "f": ["c2999", "c10"], "g": ["r0", "c5"]}
+    rounds = []
+    kept = chat.checkpointed
+    monkeypatch.setattr(chat, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    calls = spark.createDataFrame([(1, k, v) for k, v in waits.items()], "conv_id long, id string, after array<string>")
+    got = {r["id"]: r["depth"] for r in chat._depths(calls).collect()}
+    assert got == {f"c{i}": i for i in range(3000)} | {"f": 3000}
+    assert len(rounds) < 60
+
+
 # 8 packing
 
 
@@ -375,8 +530,10 @@ def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    for df, limit in ((spark.read.parquet(f"{SMALL}/documents.parquet"), 0.03), (odd, 1), (spark.createDataFrame([(1, "<|endoftext|>  \n\n x"), (2, "a" * 30_000 + " " * 25_000)], "doc_id long, text string"), 1)):
+    end = "<|endoftext|>"
+    every = "".join(f"a{chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    tokens = [f"{end}  \n\n x", f"x {end} y", f"a{end}", end, end * 3, f"{end} {end}\n{end}a{end}", "<|endoftext|", "a" * 30_000 + " " * 25_000, "a" * 20_000 + "\n" + " " * 20_001 + "é" * 19_999, every]
+    for df, limit in ((spark.read.parquet(f"{SMALL}/documents.parquet"), 0.03), (odd, 1), (spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string"), 1)):
         pieces = packing.pack(df, queries.TOKENIZER).collect()
         got, fill = collections.defaultdict(list), collections.defaultdict(list)
         for r in pieces:
