@@ -1,22 +1,30 @@
-"""Language identification: nearest of several centroids per language, by cosine of TF-IDF n-grams."""
+"""Language identification: nearest of several centroids per language, by cosine of TF-IDF n-grams.
+
+A text is rejected if it is too far from its nearest centroid for a text of its length, or lies about
+as near to a second language. Both limits are calibrated on the fitted rows, each left out of its own
+centroid.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quarry.llm.common import checkpointed, row_hash
+
 SIZE_BITS = 14  # hashed character bigrams and trigrams
-FIT_ROWS = 600  # of a language, at most about so many labelled rows fit the model, drawn by hash
-LANGUAGES = 200  # beyond so many, each is fitted on fewer rows and has fewer centroids, so that these do not grow in total
-LEAST = 20  # rows a language, however many there are; so few are drawn of each that none is missed
+FIT_ROWS = 600  # of a language, at most about so many distinct labelled rows fit the model, drawn by hash
 CENTROIDS = 3
-KEEP = 0.25  # a text is rejected if its cosine is below KEEP x that of all but 1 % of fitted rows
+KEEP = 0.8  # a text is rejected if its cosine is below KEEP x that of all but 1 % of fitted rows of its length
+TIE = 0.8  # or if its distance to the nearest language is over TIE (or that of 99 % of fitted rows, if more) x that to the second
+_STEPS = 2 * SIZE_BITS + 1  # lengths by half octaves of distinct n-grams
 _CHUNK = 1 << 20
 _CELLS = 1 << 24  # of the centroids, at once for a text
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -60,16 +68,21 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return ids, (1 + np.log(counts[ids])).astype(np.float32)
 
 
+def _step(n: np.ndarray | int) -> np.ndarray:
+    return np.minimum(2 * np.log2(np.maximum(n, 1)), _STEPS - 1).astype(int)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray  # bucket
     centroids: np.ndarray  # bucket, centroid; unit columns
-    owner: np.ndarray  # centroid: language
-    floor: np.ndarray  # centroid: least cosine that is not rejected
+    owner: np.ndarray  # centroid: language; ascending
+    floor: np.ndarray  # centroid, length step: least cosine that is not rejected
+    tie: np.ndarray  # length step: greatest ratio of the distances to the nearest and the second language
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, cosine, and whether the text is near enough to the centroid to be accepted."""
+        """Language, cosine, and whether the text is near enough to the centroid, and nearer than to others, to be accepted."""
         ids, w = grams(text)
         if not ids.size or not self.languages:
             return "und", 0.0, False
@@ -77,7 +90,10 @@ class Model:
         step = max(1, _CELLS // self.owner.size)
         cos = sum(w[i : i + step] @ self.centroids[ids[i : i + step]] for i in range(0, ids.size, step)) / np.sqrt((w * w).sum())
         best = int(cos.argmax())
-        return self.languages[self.owner[best]], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] >= self.floor[best])
+        other = cos[self.owner != self.owner[best]].max(initial=-1.0)
+        at = int(_step(ids.size))
+        near = cos[best] >= self.floor[best, at] and 1 - cos[best] <= self.tie[at] * (1 - other)
+        return self.languages[self.owner[best]], float(min(1.0, max(0.0, cos[best]))), bool(near)
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -96,47 +112,128 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def training(docs: DataFrame, eligible: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """At most about fit_rows labelled rows of every language, by a hash of their id: text, lang.
-
-    Of more than LANGUAGES languages, fewer each, about as many in total, but no fewer than LEAST.
-    """
+    """At most about fit_rows distinct labelled rows of every language, by a hash of id and text: key, text, lang."""
     rows = docs.where(eligible & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
-        return rows.select("text", "lang").limit(0)
-    each = min(fit_rows, max(LEAST, fit_rows * LANGUAGES // len(counts)))
-    schema = StructType([rows.schema["lang"], StructField("share", DoubleType())])
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], schema)
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = rows.select("text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang")  # a row a language
-    return rows.where("draw < share").select("text", "lang")
+    counts = rows.groupBy("lang").count().collect()  # a row a language
+    schema = StructType([StructField("lang", rows.schema["lang"].dataType), StructField("share", DoubleType())])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_rows / r["count"])) for r in counts], schema)
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    rows = rows.select(row_hash("doc_id", "text").alias("key"), "text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang")
+    return rows.where("draw < share").select("key", "text", "lang").dropDuplicates(["key", "lang"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(lang, key, *grams(text)) for key, text, lang in zip(*[c.to_pylist() for c in b.columns])]
+        rows = [(lang, key, ids.astype("<u2").tobytes(), w.astype("<f4").tobytes()) for lang, key, ids, w in rows if ids.size]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), *[pa.binary()] * 3))], ["lang", "key", "ids", "w"])
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket how many texts have it; at -1 all texts."""
+    for b in batches:
+        n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << SIZE_BITS)
+        has = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, has], pa.int32()), pa.array(np.r_[b.num_rows, n[has]], pa.int64())], ["bucket", "n"])
+
+
+def _rows_of(group: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows in order of key, and how many n-grams each has."""
+    group = group.sort_values("key")
+    x, n = np.zeros((len(group), idf.size), np.float32), np.zeros(len(group), int)
+    for i, (ids, w) in enumerate(zip(group["ids"], group["w"])):
+        at = np.frombuffer(ids, "<u2")
+        x[i, at] = np.frombuffer(w, "<f4") * idf[at]
+        x[i] /= np.sqrt((x[i] * x[i]).sum())
+        n[i] = at.size
+    return x, n
+
+
+def _fitted(idf: np.ndarray, k: int) -> Callable:
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        c = _clusters(_rows_of(group, idf)[0], k)
+        return pd.DataFrame({"lang": [key[0]] * len(c), "no": range(len(c)), "centroid": [v.astype("<f4").tobytes() for v in c]})
+
+    return one
+
+
+def _left_out(shared) -> Callable:
+    """For the rows of one language: nearest centroid, cosine to the nearest as it were without the row
+    (NaN if there were none), cosine to the nearest of another language, number of n-grams."""
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        model = shared.value
+        x, n = _rows_of(group, model.idf)
+        cos = x @ model.centroids
+        mine = model.owner == model.languages.index(key[0])
+        own = cos[:, mine]
+        near = own.argmax(axis=1)
+        left = np.full(own.shape, np.nan, np.float32)
+        for j in range(own.shape[1]):
+            total, member = x[near == j].sum(axis=0), near == j
+            size, product = float(total @ total), x @ total
+            rest = np.sqrt(np.maximum(size - np.where(member, 2 * product - 1, 0), 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                left[:, j] = np.where(rest > 1e-3, (product - member) / rest, np.nan)
+        best = np.where(np.isnan(left).all(axis=1), np.nan, np.nan_to_num(left, nan=-1).max(axis=1))
+        other = cos[:, ~mine].max(axis=1, initial=-1)
+        return pd.DataFrame({"centroid": np.flatnonzero(mine)[near], "own": best.astype(float), "other": other.astype(float), "n": n})
+
+    return one
+
+
+def _by_length(step: np.ndarray, value: np.ndarray, q: float, least: int = 20) -> np.ndarray:
+    """A quantile for each length step, over the step and as many around it as hold enough rows."""
+    out = np.empty(_STEPS)
+    for s in range(_STEPS):
+        for around in range(_STEPS):
+            near = np.abs(step - s) <= around
+            if near.sum() >= min(least, step.size):
+                break
+        out[s] = np.quantile(value[near], q)
+    return out
+
+
+def _calibrated(model: Model, rows: pd.DataFrame) -> Model:
+    rows = rows[rows["own"].notna()]
+    if len(rows):
+        step, own = _step(rows["n"].to_numpy()), rows["own"].to_numpy()
+        low = _by_length(step, own, 0.01)
+        share = own / np.maximum(low[step], 1e-6)
+        for c in range(model.owner.size):
+            mine = share[(rows["centroid"] == c).to_numpy()]
+            model.floor[c] = KEEP * low * (min(1.0, float(np.quantile(mine, 0.01))) if mine.size else 1.0)
+        if len(model.languages) > 1:
+            far = (1 - own) / np.maximum(1 - rows["other"].to_numpy(), 1e-6)
+            model.tie = np.maximum(TIE, _by_length(step, far, 0.99))
+    return model
 
 
 def fit(sample: DataFrame, centroids: int = CENTROIDS) -> Model:
-    """The model of a bounded sample (see training) of text and lang."""
-    by: dict[str, list] = {}
-    for r in sample.toLocalIterator():
-        g = grams(r["text"])
-        if g[0].size:
-            by.setdefault(r["lang"], []).append((g[0].astype(np.uint16), g[1]))
-    names, df = sorted(by), np.zeros(1 << SIZE_BITS, np.int64)
-    for ids, _ in (g for n in names for g in by[n]):
-        df[ids] += 1
-    idf = (np.log((1 + sum(map(len, by.values()))) / (1 + df)) + 1).astype(np.float32)
-    centroids = max(1, min(centroids, centroids * LANGUAGES // max(1, len(names))))
-    both = np.zeros((1 << SIZE_BITS, sum(min(centroids, len(by[n])) for n in names)), np.float32)
-    owner, floor = [], []
-    for i, n in enumerate(names):
-        x = np.zeros((len(by[n]), 1 << SIZE_BITS), np.float32)
-        for row, (ids, w) in zip(x, by[n]):
-            row[ids] = w * idf[ids]
-            row /= np.sqrt((row * row).sum())
-        c = _clusters(x, centroids)
-        best = (x @ c.T).max(axis=1)
-        both[:, len(owner) : len(owner) + len(c)] = c.T
-        owner += [i] * len(c)
-        floor += [KEEP * float(np.quantile(best, 0.01))] * len(c)
-    return Model(names, idf, both, np.array(owner, int), np.array(floor))
+    """The model of a bounded sample (see training) of key, text and lang.
+
+    Each language is fitted on an executor, its rows in order of key, so that neither partitions nor
+    reruns matter. To the driver come the centroids, 64 kB each, and four numbers a row. Where no row
+    can be left out (languages of one row) nothing is rejected by distance; without rows all are und.
+    """
+    v = checkpointed(sample.select("key", "text", "lang").mapInArrow(_vectors, "lang string, key binary, ids binary, w binary"))
+    df = np.zeros(1 << SIZE_BITS, np.int64)
+    total = 0
+    for r in v.select("ids").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most a row a bucket
+        if r["bucket"] < 0:
+            total = r["n"]
+        else:
+            df[r["bucket"]] = r["n"]
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    if not total:
+        return Model([], idf, np.zeros((idf.size, 0), np.float32), np.zeros(0, int), np.zeros((0, _STEPS)), np.ones(_STEPS))
+    got = sorted(v.groupBy("lang").applyInPandas(_fitted(idf, centroids), "lang string, no int, centroid binary").collect())
+    names = sorted({r["lang"] for r in got})
+    both = np.stack([np.frombuffer(r["centroid"], "<f4") for r in got], axis=1)
+    model = Model(names, idf, both, np.array([names.index(r["lang"]) for r in got]), np.zeros((len(got), _STEPS)), np.full(_STEPS, np.inf))
+    shared = v.sparkSession.sparkContext.broadcast(model)
+    rows = v.groupBy("lang").applyInPandas(_left_out(shared), "centroid long, own double, other double, n long").toPandas()
+    return _calibrated(model, rows)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
@@ -146,7 +243,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
     so repeated ones agree. Of ties the first centroid wins, languages in order. lang, if there is
     such a column, is not read.
     """
-    # At most LANGUAGES x CENTROIDS or, if there are more, languages x 2^SIZE_BITS x 4 bytes.
+    # CENTROIDS x 64 kB a language.
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index("text") if "text" in keep else len(keep)
     cols = keep if "text" in keep else [*keep, "text"]

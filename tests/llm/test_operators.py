@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -33,7 +34,100 @@ def test_languages_held_out(spark):
     held = [r for r in made if r["held_out"]]
     assert len(made) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in made)
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
-    assert np.mean([r["accepted"] for r in made]) > 0.97 and all(0 <= r["score"] <= 1 for r in made)
+    assert np.mean([r["accepted"] for r in made if r["lang_pred"] == truth[r["doc_id"]]]) > 0.97 and all(0 <= r["score"] <= 1 for r in made)
+
+
+def plain_grams(text):
+    """Letter bigrams and trigrams, other characters as one 0, hashed and counted, in plain Python."""
+    a, b, c, full = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, (1 << 64) - 1
+    codes = [0]
+    for ch in text.lower():
+        if ch.isalpha():
+            codes.append(min(ord(ch), 0xFFFF))
+        elif codes[-1]:
+            codes.append(0)
+    codes += [0] if codes[-1] else []
+    if len(codes) == 1:
+        return {}
+    counts = collections.Counter()
+    for i in range(len(codes) - 1):
+        two = (codes[i] * a + codes[i + 1] * b) & full
+        hashes = [two, (two * b + codes[i + 2] * c) & full] if i + 2 < len(codes) else [two]
+        for h in hashes:
+            counts[((h ^ (h >> 29)) * a & full) >> (64 - languages.SIZE_BITS)] += 1
+    return {k: 1 + math.log(n) for k, n in counts.items()}
+
+
+def test_languages_brute_force(spark):
+    """The whole fit and every decision again, in plain Python and dense numpy, on other partitions."""
+    rows = [(i, t, lang, zlib.crc32(str(i).encode()) % 4 != 2) for i, t, lang in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, fits boolean")
+    sample = languages.training(df, F.col("fits"))
+    model = languages.fit(sample.repartition(7))
+    keys = {(r["text"], r["lang"]): bytes(r["key"]) for r in sample.collect()}
+    fitted = sorted((lang, keys[t, lang], plain_grams(t)) for _, t, lang, fits in rows if fits and t and lang and plain_grams(t))
+    seen = collections.Counter(k for *_, g in fitted for k in g)
+    idf = {k: math.log((1 + len(fitted)) / (1 + n)) + 1 for k, n in seen.items()}
+    other = math.log(1 + len(fitted)) + 1
+
+    def unit(g):
+        v = np.zeros(1 << languages.SIZE_BITS)
+        for k, w in g.items():
+            v[k] = w * idf.get(k, other)
+        return v / np.sqrt((v * v).sum())
+
+    centroids, owner, names = [], [], sorted({lang for lang, *_ in fitted})
+    vectors = {n: np.array([unit(g) for lang, _, g in fitted if lang == n]) for n in names}
+    for n in names:
+        c = languages._clusters(vectors[n], languages.CENTROIDS)
+        centroids += list(c)
+        owner += [n] * len(c)
+    assert model.languages == names and np.allclose(model.centroids, np.array(centroids).T, atol=1e-4)
+    own, far, steps, which = [], [], [], []
+    for n in names:
+        mine = [j for j, o in enumerate(owner) if o == n]
+        near = [mine[int(np.argmax([centroids[j] @ v for j in mine]))] for v in vectors[n]]
+        for i, v in enumerate(vectors[n]):
+            sums = [sum((u for k, u in enumerate(vectors[n]) if near[k] == j and k != i), np.zeros(v.size)) for j in mine]
+            own.append(max(float(v @ s / np.sqrt(s @ s)) for s in sums if s.any()))
+            far.append((1 - own[-1]) / (1 - max(centroids[j] @ v for j, o in enumerate(owner) if o != n)))
+            steps.append(int(2 * math.log2(np.count_nonzero(v))))
+            which.append(near[i])
+    own, far, steps, which = map(np.array, (own, far, steps, which))
+    low, tie = languages._by_length(steps, own, 0.01), np.maximum(languages.TIE, languages._by_length(steps, far, 0.99))
+    share = own / low[steps]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["accepted"]) for r in languages.identify(df.repartition(3), model, ["doc_id"]).collect()}
+    for i, t, _, _ in rows:
+        g = plain_grams(t or "")
+        if not g:
+            assert got[i] == ("und", 0.0, False)
+            continue
+        cos = [float(unit(g) @ c) for c in centroids]
+        best, step = int(np.argmax(cos)), int(2 * math.log2(len(g)))
+        second = max(x for x, o in zip(cos, owner) if o != owner[best])
+        floor = languages.KEEP * low[step] * min(1.0, np.quantile(share[which == best], 0.01))
+        assert got[i][0] == owner[best] and abs(got[i][1] - cos[best]) < 1e-4
+        if abs(cos[best] - floor) > 1e-3 and abs(1 - cos[best] - tie[step] * (1 - second)) > 1e-3:
+            assert got[i][2] == (cos[best] >= floor and 1 - cos[best] <= tie[step] * (1 - second))
+
+
+def test_languages_reject_foreign_and_mixed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 600")
+    model = languages.fit(languages.training(docs, languages.fold() != 2))
+    held = docs.where(languages.fold() == 2).limit(1500).collect()
+    native = [model.classify(r["text"])[2] for r in held]
+    by = collections.defaultdict(list)
+    for r in held:
+        by[r["lang"]].append(r["text"])
+    mixed = [a[:700] + " " + b[:700] for x, y in combinations(sorted(by), 2) for a, b in zip(by[x], by[y])]
+    rng = random.Random(3)
+    foreign = []
+    for alphabet in ("aiukmnhsrty", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрст", "αβγδεζηθικλμν", "aeiouvlkj"):
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+        foreign += [" ".join(rng.choice(words) for _ in range(150)) for _ in range(40)]
+    assert np.mean(native) > 0.99
+    assert np.mean([model.classify(t)[2] for t in foreign]) < 0.01
+    assert np.mean([model.classify(t)[2] for t in mixed]) < 0.25
 
 
 def test_languages_edges(spark, odd, none):
@@ -44,21 +138,28 @@ def test_languages_edges(spark, odd, none):
     assert languages.identify(none, model, none.columns, names).count() == 0
     empty = languages.fit(languages.training(none, F.lit(True)))
     assert empty.classify("abc") == ("und", 0.0, False)
-    good = languages.fit(languages.training(spark.read.parquet(f"{SMALL}/documents.parquet"), F.lit(True)))
-    assert good.classify("здравствуй мир " * 9)[2] is False
+    tied = languages.fit(languages.training(spark.createDataFrame([(i, "same text here", n) for i, n in enumerate("bacbac")], "doc_id long, text string, lang string"), F.lit(True)))
+    assert tied.classify("same text here")[:2] == ("a", pytest.approx(1, abs=1e-4))
+
+
+def test_languages_draw_is_bounded(spark):
+    """A third of all rows without an id, another of one text, do not swell the sample."""
+    rows = [(None, f"text number {i} of many", "en") for i in range(4000)] + [(7, "one text", "en")] * 4000 + [(i, f"other {i}", "en") for i in range(4000)]
+    n = languages.training(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).count()
+    assert 200 < n < 800
 
 
 def test_languages_all_are_learned(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
-    words = {f"l{i:03}": [word() for _ in range(12)] for i in range(620)}
+    words = {f"l{i:03}": [word() for _ in range(12)] for i in range(320)}
     text = lambda n: " ".join(rng.choice(words[n]) for _ in range(40))
-    rows = [(i, text(n), n) for i, n in enumerate(n for k, n in enumerate(words) for _ in range(3 if k < 300 else 2))] + [(10_000 + i, text("l000"), "l000") for i in range(700)]
+    rows = [(i, text(n), n) for i, n in enumerate(n for k, n in enumerate(words) for _ in range(3 if k < 150 else 2))] + [(10_000 + i, text("l000"), "l000") for i in range(900)]
     sample = languages.training(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
     drawn = collections.Counter(r["lang"] for r in sample.collect())
-    assert set(drawn) == set(words) and drawn["l619"] == 2 and 100 < drawn["l000"] < 300
+    assert set(drawn) == set(words) and drawn["l319"] == 2 and 500 < drawn["l000"] < 700
     model = languages.fit(sample)
-    assert model.languages == sorted(words) and model.owner.tolist() == [*range(620)]
+    assert model.languages == sorted(words) and sorted(set(model.owner.tolist())) == [*range(320)]
     assert np.mean([model.classify(text(n))[0] == n for n in words]) > 0.99
 
 
