@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, checkpointed
+from quarry.llm.common import WORD, checkpointed, row_hash
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source is used at most
@@ -55,7 +55,7 @@ def lined_up(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     whole = d.groupBy("source_no", "slice").agg(F.sum("size").alias("words"))
     over = Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select("source_no", "slice", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source_no", "slice").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_no", "slice").orderBy("turn", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("off", F.sum("size").over(within) - F.col("size"))
     return d.join(whole, ["source_no", "slice"]).withColumn("off", F.col("off") + F.col("ahead")).drop("ahead", "slice", "turn")
 
@@ -92,14 +92,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     """The documents with what the mix takes of them, and the mix itself.
 
     docs: doc_id long, text string, source string; other columns are ignored.
-    First: doc_id, size, source, source_no, source_size, off, target, taken; a row for each row of docs.
+    First: doc_id, row (row_hash of doc_id, source and text), size, source, source_no, source_size, off, target, taken,
+    first_slot (the first slot of the mix that holds words of it, null if none does); a row for each row of docs.
     Second: slot, source_no, off, start (word in the document), words, round; in order of slot it is the mix.
 
     Null text: size 0. Documents without words are taken 0 times. Null source: a source of its own,
     last in order. Null doc_id: one place in the shuffle, as for any repeated id. Rows that agree in id,
     source and size are interchangeable. Empty input: no rows. Reruns give the same rows.
     """
-    sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = checkpointed(docs.select("doc_id", "source", row_hash("doc_id", "source", "text").alias("row"), word_count(F.col("text")).alias("size")))
     sources = checkpointed(source_targets(sized, weights, most))
     line = checkpointed(lined_up(sized, sources, seed))
     r = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
@@ -109,9 +110,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     first = F.greatest("at", F.col("rank") * block)
     pieces = pieces.select("source_no", "rank", "off", "round", (first - F.col("at")).alias("start"), (F.least("end", (F.col("rank") + 1) * block) - first).alias("words"))
     schedule = pieces.join(slots(sources, block), ["source_no", "rank"]).select("slot", "source_no", "off", "start", "words", "round")
-    taken = schedule.groupBy("source_no", "off").agg(F.sum("words").alias("got"))
-    got = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return line.join(taken, ["source_no", "off"], "left").select("doc_id", "size", "source", "source_no", "source_size", "off", "target", got.alias("taken")), schedule
+    taken = schedule.groupBy("source_no", "off").agg(F.sum("words").alias("got"), F.min("slot").alias("slot"))
+    has = F.col("size") > 0
+    got, slot = F.when(has, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long"), F.when(has, F.col("slot"))
+    out = line.join(taken, ["source_no", "off"], "left")
+    return out.select("doc_id", "row", "size", "source", "source_no", "source_size", "off", "target", got.alias("taken"), slot.alias("first_slot")), schedule
+
+
+def copies(taken: DataFrame, schedule: DataFrame) -> DataFrame:
+    """row, slot, off: one for each time that the mix takes a document for the most part, at its place in the mix."""
+    whole = schedule.groupBy("source_no", "off", "round").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    placed = taken.where("size > 0").select("row", "size", "source_no", "off").join(whole, ["source_no", "off"])
+    return placed.where("words * 2 >= size").select("row", "slot", "off")
 
 
 ORACLE = r"""
@@ -121,11 +131,18 @@ per AS (SELECT source, SUM(size)::BIGINT AS source_size, row_number() OVER (ORDE
 capped AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((no - 1) % 3 + 1)::INT] AS weight, (source_size * 3)::DOUBLE AS cap FROM per),
 levels AS (SELECT *, ((SUM(source_size) OVER ())::DOUBLE - COALESCE(SUM(cap) OVER b, 0)) / (SUM(weight) OVER () - COALESCE(SUM(weight) OVER b, 0)) AS level
         FROM capped WINDOW b AS (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, least(cap, weight * MAX(level) OVER ()) AS target FROM levels),
-line AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS upto,
+targets AS (SELECT source, no, source_size, least(cap, weight * MAX(level) OVER ()) AS target FROM levels),
+line AS (SELECT d.doc_id, d.size, t.no, t.source_size, t.target, floor(t.target)::BIGINT AS upto,
         (SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS off
-        FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+        FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+blocks AS (SELECT no, ceil(floor(target) / 1024)::BIGINT AS n FROM targets WHERE floor(target) >= 1),
+bounds AS (SELECT no, n, (SUM(n) OVER ())::DOUBLE AS total, (SUM(n) OVER (ORDER BY no))::DOUBLE AS hi FROM blocks),
+points AS (SELECT i AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS u FROM range((SELECT COALESCE(SUM(n), 0)::BIGINT FROM blocks)) t(i)),
+hits AS (SELECT b.no, b.n, slot, row_number() OVER (PARTITION BY b.no ORDER BY slot) - 1 AS rank FROM points JOIN bounds b ON u >= (b.hi - b.n) / b.total AND u < b.hi / b.total),
+short AS (SELECT no, n, got, total, SUM(n - got) OVER (ORDER BY no) - (n - got) AS base FROM (SELECT b.no, b.n, b.total::BIGINT AS total, COUNT(h.slot) AS got FROM bounds b LEFT JOIN hits h USING (no) GROUP BY ALL) WHERE n > got),
+slots AS (SELECT no, rank, slot FROM hits WHERE rank < n UNION ALL SELECT no, rank, (total + base + rank - got)::BIGINT FROM (SELECT *, unnest(range(got, n)) AS rank FROM short))
+SELECT l.doc_id, l.size, source_size, target,
         (greatest(0, least(upto, off + size) - off) + greatest(0, least(upto, source_size + off + size) - source_size - off)
-        + greatest(0, least(upto, 2 * source_size + off + size) - 2 * source_size - off))::BIGINT AS taken FROM line
+        + greatest(0, least(upto, 2 * source_size + off + size) - 2 * source_size - off))::BIGINT AS taken, CASE WHEN size > 0 AND off < upto THEN s.slot END AS first_slot
+FROM line l LEFT JOIN slots s ON s.no = l.no AND s.rank = off // 1024
 """

@@ -41,7 +41,7 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
