@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import languages, lines, mixing, packing, simhash
-from quarry.llm.common import checkpointed, prepare, row_hash, written
+from quarry.llm.common import BLANKS, checkpointed, prepare, row_hash, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that later ones repeat. What had text and lost it all goes."""
+    """Documents without the lines that later ones repeat. What had text and lost it all goes; null texts stay."""
     prepare(spark)
-    made = lines.dedup_lines(docs, docs.columns, names=("quarry_lines", "quarry_dropped", "quarry_kept"))
-    left = made.where((F.col("quarry_dropped") == 0) | (F.length(F.trim("quarry_kept")) > 0))
-    kept = F.when(F.col("quarry_dropped") > 0, F.col("quarry_kept")).otherwise(F.col("text"))
-    left = left.withColumn("text", kept)
+    others = [c for c in docs.columns if c != "text"]  # the text itself crosses the shuffle once, as what is left of it
+    made = lines.dedup_lines(docs, others, names=("quarry_lines", "quarry_dropped", "text"))
+    left = made.where((F.col("quarry_dropped") == 0) | (F.length(F.trim("text", F.lit(BLANKS))) > 0))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", F.when(F.col("quarry_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
 
 
@@ -47,20 +46,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole copy."""
+    """The mix: each document as often as the schedule takes most of it, at most 3 times, in order of its slots.
+
+    Null texts and texts without words are in no mix and go. Null sources are one source, null ids are
+    ids like others. Rows equal in id, source and text are one document that is taken for all of them.
+    Ties in slot go by the place on the source's line. Empty input: no rows.
+    """
     prepare(spark)
-    taken, _ = mixing.mix(docs)
-    size = F.col("size")
-    copies = F.when(size > 0, F.floor((F.col("taken") + F.floor(size / 2)) / size)).otherwise(0).cast("int")
-    per = taken.select(F.col("doc_id").alias("quarry_id"), F.col("source").alias("quarry_source"), F.col("size").alias("quarry_size"), copies.alias("quarry_copies"))
-    per = per.groupBy("quarry_id", "quarry_source", "quarry_size").agg(F.max("quarry_copies").alias("quarry_copies")).where("quarry_copies > 0")
-    on = docs["doc_id"].eqNullSafe(per["quarry_id"]) & docs["source"].eqNullSafe(per["quarry_source"]) & (mixing.word_count(docs["text"]) == per["quarry_size"])
-    out = docs.join(per.hint("shuffle_hash"), on).withColumn("quarry_copy", F.explode(F.sequence(F.lit(1), F.col("quarry_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    places = mixing.copies(*mixing.mix(docs)).withColumnsRenamed({"row": "quarry_row", "slot": "quarry_slot", "off": "quarry_off"})
+    rows = docs.withColumn("quarry_row", row_hash("doc_id", "source", "text"))
+    repeated = checkpointed(rows.groupBy("quarry_row").count().where("count > 1").select("quarry_row"))
+    if not repeated.isEmpty():
+        once = rows.join(repeated, "quarry_row", "left_semi").dropDuplicates(["quarry_row"])
+        rows = rows.join(repeated, "quarry_row", "left_anti").unionByName(once)
+    return rows.join(places.hint("shuffle_hash"), "quarry_row").orderBy("quarry_slot", "quarry_off").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in windows."""
+    """The pieces of all documents and their places in windows; see packing.pack for nulls, empty texts and repeated rows."""
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
