@@ -14,10 +14,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ BASE = ("email", "ip", "card", "phone")
 MORE = ("secret", "local_phone", "id_number", "veiled_email", "name")
 KINDS = (*BASE, *MORE)
 LABELERS = ("pattern", "gazetteer", "context")
-SURE = 0.9  # probability from which the classifier reports a span
-FORM_SHARED = ("secret", "id_number")  # hashes, slugs and part numbers have the form, and the votes, of these
+WEAK = {("secret", "pattern"), ("id_number", "gazetteer")}  # labelers that often vote for what is not real
+PRIOR_ROWS = 10
+SURE = 0.8  # probability from which the classifier reports a span
 NEAR = 30  # code points before a span that are its context
 _SOME = re.compile(r"[0-9@+]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,14 +38,27 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _FIND = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/.-]{16})[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+={0,2}"),
     "local_phone": re.compile(r"(?<![0-9+().-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "id_number": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "veiled_email": re.compile(r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63} ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+", re.I),
-    "name": re.compile(r"(?<![A-Za-z])[A-Z][a-z]{2,15} [A-Z][a-z]{2,20}(?![A-Za-z])"),
+    "veiled_email": re.compile(r"[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++", re.I),
+    "name": regex.compile(r"(?<!\p{L})(?!(?:Dear|Contact|Signed|Mr|Mrs|Ms|Dr)\b)\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)? \p{Lu}\p{Ll}++(?!\p{L})"),
 }
 _VEIL = re.compile(r"[\[(]at[\])]", re.I)
 _DIGIT = re.compile("[0-9]")
+_HEX = re.compile("(?:[0-9a-f]+|[0-9A-F]+)")
+_UUID = re.compile("[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+_RUNS = re.compile("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+")
+_WORD = "(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,4})"
+_WORDY = re.compile(f"[-_/.+]*{_WORD}(?:[-_/.+]+{_WORD})+[-_/.+]*")
+#: Common first names in English, German, French and Spanish.
+FIRST_NAMES = (
+    "Adam Alain Alejandro Alexander Alice Amy Ana Andrea Andreas Andrew Angela Anna Anne Antonio Barbara Benjamin Bernd Brian Camille Carlos Carmen Carol Catherine Charles Christian Christine Christopher "
+    "Claudia Daniel David Deborah Diego Dieter Donald Edward Elena Elizabeth Emily Emma Eric Fernando Francisco François Frank Franz George Gerhard Hannah Hans Heike Helen Helmut Isabel Isabelle Jacques James Jan "
+    "Javier Jean Jennifer Jessica Joachim John José Joseph Joshua Juan Julia Julie Jürgen Karen Karin Karl Kathleen Katrin Kenneth Kevin Klaus Laura Laurent Linda Lisa Louis Luis Manuel Margaret María Maria Marie Mark Markus "
+    "Martin Martina Mary Matthew Melissa Michael Michel Miguel Monika Nancy Nathalie Nicholas Nicole Olivier Pablo Patricia Paul Pedro Peter Petra Philippe Pierre Rachel Rebecca Richard Robert Ronald Rosa Ruth Sabine "
+    "Sandra Sarah Sergio Sofía Sophie Stefan Stephen Steven Susan Susanne Sylvie Thomas Timothy Ursula Victoria Walter William Wolfgang"
+)
 _GAZETTEER = {
     "email": re.compile(r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", re.I),
     "veiled_email": re.compile(r"(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", re.I),
@@ -53,7 +68,7 @@ _GAZETTEER = {
     "local_phone": re.compile(r"555"),
     "id_number": re.compile(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"),
     "secret": re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xox[bp]-|AIza|glpat-)"),
-    "name": re.compile(r"^(?:James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Anna|Peter|Paul|Maria|Jose|Juan|Carlos|Ana|Luis|Pierre|Jean|Marie|Sophie|Hans|Klaus|Petra|Sabine|Julia) "),
+    "name": re.compile(rf"^(?:{FIRST_NAMES.replace(' ', '|')})[ -]"),
 }
 _CONTEXT = {
     "email": re.compile(r"e-?mail|contact|write to|address|correo|courriel", re.I),
@@ -105,11 +120,18 @@ def _place(span: tuple) -> tuple:
 
 def _pattern(kind: str, s: str) -> int:
     """Does the candidate have the full form of its kind? -1 against, 0 unsure, 1 for."""
-    if kind in BASE or kind in ("id_number", "veiled_email"):
+    if kind in BASE or kind == "veiled_email":
         return 1
+    if kind == "id_number":
+        return 0
     if kind == "secret":
-        digits, letters, case = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s), s != s.lower() and s != s.upper()
-        return 1 if digits >= 3 and letters >= 3 and len(set(s)) >= 9 or case and digits >= 2 else -1
+        if s.isdigit() or _WORDY.fullmatch(s) or _UUID.fullmatch(s):
+            return -1
+        if _HEX.fullmatch(s):
+            return 0  # a hash as well as a key
+        runs = len(_RUNS.findall(s)) / len(s)  # random characters change class often, words do not
+        mixed = (s != s.lower() and s != s.upper()) + bool(_DIGIT.search(s)) + (len(set(s)) >= 12)
+        return 1 if mixed == 3 and runs >= 0.25 else 1 if mixed >= 2 and runs >= 0.35 else 0
     return 1 if kind == "local_phone" else 0
 
 
@@ -128,7 +150,7 @@ def features(text: str, start: int, end: int) -> tuple[int, int, int, int]:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the further kinds that overlap no base span and, being of one kind, not each other.
 
-    base: sorted by start. Every pattern takes bounded work at each place, however long the text.
+    base: sorted by start. No pattern has an upper length, and all take time in proportion to the text.
     """
     out = []
     starts, ends = [a for _, a, _ in base], list(accumulate((b for *_, b in base), max))
@@ -136,12 +158,23 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     for kind, find in _FIND.items():
         if kind == "veiled_email" and not veiled or kind in ("local_phone", "id_number", "secret") and not digits:
             continue
+        done = 0
         for m in find.finditer(text):
-            if kind == "secret" and not _DIGIT.search(m[0]):
+            start, end = m.span()
+            if kind == "secret" and (end - start < 16 or not _DIGIT.search(m[0])):
                 continue
-            before = bisect_left(starts, m.end())  # base spans that start before the candidate ends
-            if not before or ends[before - 1] <= m.start():
-                out.append((kind, *m.span()))
+            if kind == "veiled_email":
+                start = stop = start - (text[start - 1 : start] == " ")
+                while start > done and text[start - 1] in _LOCAL:
+                    start -= 1
+                while start < stop and text[start] == ".":
+                    start += 1
+                if start >= stop:
+                    continue
+                done = end
+            before = bisect_left(starts, end)  # base spans that start before the candidate ends
+            if not before or ends[before - 1] <= start:
+                out.append((kind, start, end))
     return out
 
 
@@ -163,25 +196,38 @@ class Model:
         return float(1 / (1 + np.exp(-(_design(kind, vote, feature) @ self.weights))))
 
 
-def _design(kind: str, vote: tuple[int, ...], feature: tuple[int, ...]) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 9 + 6 + 5 + 6 + 1)
-    x[0] = 1
-    x[1 + KINDS.index(kind)] = 1
-    at = 1 + len(KINDS)
+_SIZE = 1 + 10 * len(KINDS) + 18
+
+
+def _design(kind: str, vote: tuple[int, ...], feature: tuple[int, ...] | None) -> np.ndarray:
+    """Kind, votes by kind, and features, each value a column; no features: of the average span."""
+    x = np.zeros(_SIZE)
+    at = 1 + 10 * KINDS.index(kind)
+    x[0] = x[at] = 1
     for j, v in enumerate(vote):
-        x[at + 3 * j + v + 1] = 1
-    at += 9
-    for value, size in zip(feature, (6, 5, 6)):
-        x[at + value] = 1
+        x[at + 1 + 3 * j + v + 1] = 1
+    at = 1 + 10 * len(KINDS)
+    for value, size in zip(feature or (), (6, 5, 6, 1)):
+        if size > 1:
+            x[at + value] = 1
+        else:
+            x[at] = value
         at += size
-    x[at] = feature[3]
     return x
 
 
 def fit(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds: int = 50) -> Model:
-    """From (kind, votes, features, count) over all candidates. Few or no patterns leave the priors."""
-    start = np.array([[0.25, 0.7, 0.05], [0.02, 0.38, 0.6]])
-    model = Model({k: 0.9 if k in BASE else 0.5 for k in KINDS}, {(k, j): start.copy() for k in KINDS for j in range(3)}, np.zeros(1 + len(KINDS) + 27))
+    """From (kind, votes, features, count) over all candidates. Few or no patterns leave the priors.
+
+    EM begins at, and keeps as two thirds of its evidence, what is assumed of a labeler: a vote for is rare
+    on what is not real (2 %), less so of the labelers in WEAK (15 %). The span classifier is fitted
+    to all counts and, so that votes that are not in the data count as the label model has them, to
+    PRIOR_ROWS rows of every kind and votes.
+    """
+    start = {
+        (k, j): np.array([[0.25, 0.6, 0.15] if (k, name) in WEAK else [0.28, 0.7, 0.02], [0.02, 0.38, 0.6]]) for k in KINDS for j, name in enumerate(LABELERS)
+    }
+    model = Model({k: 0.9 if k in BASE else 0.5 for k in KINDS}, {k: v.copy() for k, v in start.items()}, np.zeros(_SIZE))
     seen: Counter = Counter()
     for kind, vote, _, n in patterns:
         seen[kind, vote] += n
@@ -189,17 +235,17 @@ def fit(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], round
         for kind in {k for k, _ in seen}:
             rows = [(v, n, model.posterior(kind, v)) for (k, v), n in seen.items() if k == kind]
             total = sum(n for _, n, _ in rows)
-            soft = 5 + 0.05 * total  # prior rows keep the classes from swapping
-            model.prior[kind] = (sum(n * p for _, n, p in rows) + soft * (0.9 if kind in BASE else 0.5)) / (total + soft)
+            soft = 20 + 2 * total  # prior rows keep the classes from swapping
+            model.prior[kind] = (sum(n * p for _, n, p in rows) + soft / 2 * (0.9 if kind in BASE else 0.5)) / (total + soft / 2)
             for j in range(3):
-                c = soft * start
+                c = soft * start[kind, j]
                 for v, n, p in rows:
                     c[:, v[j] + 1] += n * np.array([1 - p, p])
                 model.reliability[kind, j] = c / c.sum(axis=1, keepdims=True)
-    rows = [*patterns, *[(k, v, f, 1) for k in KINDS for v, f in (((1, 1, 1), (2, 2, 3, 1)), ((-1, 0, 0), (2, 1, 2, 0)), ((-1, -1, 0), (2, 1, 2, 0)))]]
+    rows = [*patterns, *[(k, v, None, PRIOR_ROWS) for k in KINDS for v in product((-1, 0, 1), repeat=3)]]
     x = np.array([_design(k, v, f) for k, v, f, _ in rows])
     y = np.array([model.posterior(k, v) for k, v, _, _ in rows])
-    n = np.log1p(np.array([c for *_, c in rows], float))
+    n = np.array([c for *_, c in rows], float)
     w = model.weights
     for _ in range(30):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -230,17 +276,14 @@ def train(docs: DataFrame) -> Model:
 
 
 def spans(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: those and the candidates of which the classifier is sure.
-
-    Of FORM_SHARED a candidate also needs two positive votes: where such forms are common, EM takes form alone for proof.
-    """
+    """Base spans, and all spans: those and the candidates of which the classifier is sure."""
     if not text:
         return [], []
     base = base_spans(text)
     more = []
     for kind, s, e in candidates(text, base):
         v = votes(kind, text, s, e)
-        if (kind not in FORM_SHARED or sum(x > 0 for x in v) >= 2) and model.probability(kind, v, features(text, s, e)) >= SURE:
+        if model.probability(kind, v, features(text, s, e)) >= SURE:
             more.append((kind, s, e))
     return base, sorted(base + more, key=_place)
 

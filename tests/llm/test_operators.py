@@ -394,6 +394,44 @@ def test_pii_classifier_decides_without_second_vote(spark):
     assert [pii.spans(t, model)[1] for t in ("so jan_doe [at] ulm [dot] ch and", "desk 212-736-3321 or")] == [[("veiled_email", 3, 28)], [("local_phone", 5, 17)]]
 
 
+def planted_data(rng):
+    """(kind, text) of personal data in all added kinds, and (None, text) of what only looks like it."""
+    some = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    word = lambda: some(rng.randrange(3, 9), "abcdefghilmnoprstuvz")
+    for _ in range(200):
+        key, lower, upper = some(40), some(40, "0123456789abcdef"), some(15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") + "7"
+        for t in (f'api_key = "{key}"', f"token: {lower}", f"key AKIA{upper} end", f"sk-proj-{key}", f"password={some(23)}1", f"aws_secret_access_key = {some(20)}/{some(18)}1+", f"use ghp_{key} now", f"secret = '{some(42)}1='"):
+            yield "secret", t
+        n = f"{rng.randrange(201, 990)}{rng.choice('-. ')}{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        for t in (f"call {n} today", f"phone: {n}", f"({n[:3]}) {n[4:]}", f"desk {n} or"):
+            yield "local_phone", t
+        n = f"{rng.randrange(1, 665):03}-{rng.randrange(1, 99):02}-{rng.randrange(1, 9999):04}"
+        for t in (f"SSN {n}", f"social security number {n}", f"his ssn: {n}"):
+            yield "id_number", t
+        for t in (f"{word()} [at] {word()} [dot] {rng.choice(['com', 'de', 'ch', 'nl'])}", f"mail {word()}.{word()} (at) {word()} (dot) org", f"{word()}[at]{word()}[dot]co[dot]uk", f"{'x' * 90}{word()} (at) {word()} (dot) fr"):
+            yield "veiled_email", t
+        first, last = rng.choice(pii.FIRST_NAMES.split()), rng.choice(["Müller", "Étienne", "Núñez", word().capitalize()])
+        for t in (f"my name is {first} {last}", f"Dear {first} {last}", f"signed, {first} {last}", f"Contact: {first} {last}"):
+            yield "name", t
+        for t in ("visit New York today", "under the Apache License now", "covid-19-vaccine-rollout-2021-update", "part no 999-99-9999", f"commit {rng.randbytes(20).hex()} fixes", f"id 550e8400-e29b-41d4-a716-{lower[:12]}"):
+            yield None, t
+        for t in ("see /usr/share/doc/python3.13/README.md", f"md5 {rng.randbytes(16).hex()}", "version 1.2.3-beta.4-build2021", f"order {rng.randrange(10**9)}-{rng.randrange(10**6)}", "https://example.org/a/b2/c33?x=1"):
+            yield None, t
+
+
+@pytest.mark.parametrize("learns_from_them", [False, True])
+def test_pii_recall_of_each_kind(spark, learns_from_them):
+    rows = [(k, f"pal vor {t} nim.") for k, t in planted_data(random.Random(11))]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
+    model = pii.train(docs.union(spark.createDataFrame([(t,) for _, t in rows], "text string")) if learns_from_them else docs)
+    found = collections.defaultdict(list)
+    for kind, t in rows:
+        base, every = pii.spans(t, model)
+        found[kind].append(any(s[0] == kind for s in every) if kind else len(every) > len(base))
+    assert {k: np.mean(v) > 0.95 for k, v in found.items() if k} == dict.fromkeys(pii.MORE, True)
+    assert np.mean(found[None]) < 0.01
+
+
 # 5 order minhash
 
 
