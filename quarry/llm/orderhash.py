@@ -8,18 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed
+from quarry.llm.common import written
 
 K = 3  # tokens in a k-mer
 PICKS = 2  # k-mers in a tuple
 SIGNATURES = 64
 TOKEN = 12  # longer words are cut to tokens of so many code points
-BUCKETS = 1 << 14  # at most, of the id order; each keeps its documents and the next bucket's first
-BUCKET_ROWS = 2000  # documents in a bucket, about, while there are fewer buckets
-_COARSE = 128  # every so many-th cut is looked at first
 _STEP = 1 << 13
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, SIGNATURES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,66 +92,76 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+_EDGE = "part int, place int, text string"
+_FIRST, _LAST = 0, 1
+
+
+def _row(doc: int | None, text: str, fp: bytes, following: str, following_fp: bytes, known: dict[str, int]) -> tuple:
+    changed = edited(text, following)
+    g = fingerprint(changed, known)
+    return doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), fp, g, likeness(fp, g), likeness(fp, following_fp)
+
+
+def _batch(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
+    """Finished rows, and rows that only carry (doc_id, part, place, text)."""
+    every = [(*r, None, None, None) for r in rows] + [(doc, *[None] * 6, part, place, text) for doc, part, place, text in edges]
+    types = (*_TYPES, pa.int32(), pa.int32(), pa.string())
+    names = [c.split()[0] for c in f"{_OUT}, {_EDGE}".split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*every) if every else [[]] * len(types), types)], names)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket and order; a row that only lends its text (own false) ends its bucket."""
+    """A partition in order: a row for each document whose next is in it too; the first and last text, for its neighbours."""
+    part = TaskContext.get().partitionId()
     known: dict[str, int] = {}
     before = None
     for b in batches:
-        out = []
-        for bucket, own, doc, text in zip(*[c.to_pylist() for c in b.columns]):
+        out, edges = [], []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if len(known) > 1 << 18:
                 known.clear()
-            text = text or ""
             fp = fingerprint(text, known)
-            if before and before[0] == bucket:
-                _, d, t, f = before
-                changed = edited(t, text)
-                g = fingerprint(changed, known)
-                sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((d, len(t), sha, f.hex(), g.hex(), likeness(f, g), likeness(f, fp)))
-            before = (bucket, doc, text, fp) if own else None
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], _OUT)
+            if before:
+                out.append(_row(*before, text, fp, known))
+            else:
+                edges.append((doc, part, _FIRST, text))
+            before = (doc, text, fp)
+        yield _batch(out, edges)
+    if before:
+        yield _batch([], [(before[0], part, _LAST, before[1])])
 
 
-def _cuts_below(cuts: list[int], x: Column) -> Column:
-    """How many of the sorted cuts are less than x, found in two steps."""
-    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
-    coarse = F.size(F.filter(listed(cuts[_COARSE - 1 :: _COARSE]), lambda c: c < x)) * _COARSE
-    return coarse + F.size(F.filter(F.slice(listed(cuts), coarse + 1, F.lit(_COARSE)), lambda c: c < x))
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(doc, text, fingerprint(text), following, fingerprint(following), {}) for doc, text, following in zip(*[c.to_pylist() for c in b.columns])]
+        made = [_row(*r) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 7, _TYPES)], [c.split()[0] for c in _OUT.split(", ")])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    docs: doc_id long, text string. The next document is the next by id, then text; null ids come
-    last; after the last comes the first. Null text counts as empty; texts without words have a
+    docs: doc_id long, text string. The next document is the next by id, then by XXH64 of its text; null
+    ids come last; after the last comes the first. Null text counts as empty; texts without words have a
     fingerprint of zeros, fewer than 3 words are one k-mer. A single document is its own next.
     Repeated rows follow each other. Empty input: no rows.
 
-    The id order is cut at quantiles into buckets; each gets the next one's first document as well,
-    so that neighbours meet without one task ordering all. Many rows of one id share a bucket.
+    Texts are range-partitioned in this order, rows that agree in all by their place in the input, so
+    that no id, nor null, is one task's work. A partition finishes all its documents but the last, which
+    waits for the first of the next partition: two texts a partition are kept for that.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = checkpointed(d.select("doc_id"))
-    n = ids.count()
-    if not n:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    parts = int(min(BUCKETS, max(1, n // BUCKET_ROWS)))
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_cuts_below(cuts, F.col("doc_id"))).cast("int")
-    firsts = ids.select(bucket.alias("b"), "doc_id").groupBy("b").agg(F.min("doc_id").alias("least")).orderBy("b").collect()  # one a bucket
-    around = [(r["b"], r["least"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]
-    bounds = F.broadcast(docs.sparkSession.createDataFrame(around, "b int, least long, before int"))  # at most BUCKETS + 1 rows
-    own = F.struct(F.col("b").alias("bucket"), F.lit(True).alias("own"))
-    other = F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))
-    leads = F.col("doc_id").eqNullSafe(F.col("least"))
-    d = d.withColumn("b", bucket).join(bounds, "b")
-    d = d.withColumn("x", F.explode(F.when(leads, F.array(own, other)).otherwise(F.array(own)))).select("x.bucket", "x.own", "doc_id", "text")
-    d = d.repartition("bucket").sortWithinPartitions("bucket", F.desc("own"), F.col("doc_id").asc_nulls_last(), "text")
-    types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return d.mapInArrow(_rows, types)
-
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    d = d.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie")
+    made = written(d.select("doc_id", "text").mapInArrow(_rows, f"{_OUT}, {_EDGE}"))
+    edges = made.where("part is not null")
+    firsts = edges.where(F.col("place") == _FIRST).select("part", F.col("text").alias("following"))
+    parts = firsts.select("part")  # numbers only: a row a partition
+    turn = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
+    lasts = edges.where(F.col("place") == _LAST).select("doc_id", "text", "part").join(turn, "part")
+    pairs = lasts.join(firsts.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following")
+    names = [c.split()[0] for c in _OUT.split(", ")]
+    out = made.where("part is null").select(*names).unionByName(pairs.mapInArrow(_edge_rows, _OUT))
+    return out.select(*[F.lower(F.hex(n)).alias(n) if n.endswith(("sha256", "fingerprint")) else n for n in names])

@@ -435,29 +435,69 @@ def test_pii_recall_of_each_kind(spark, learns_from_them):
 # 5 order minhash
 
 
-def test_order_minhash(spark, odd, none):
-    for df in (spark.read.parquet(f"{TINY}/documents.parquet"), odd, odd.limit(1)):
-        docs = sorted(((d is None, d or 0, t or "", d) for d, t in texts_of(df)), key=lambda x: x[:3])
-        want = collections.Counter()
-        for i, (*_, t, d) in enumerate(docs):
-            following = docs[(i + 1) % len(docs)][2]
-            e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-            f, g, h = (orderhash.fingerprint(x) for x in (t, e, following))
-            want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), orderhash.likeness(f, g), orderhash.likeness(f, h)] += 1
-        assert collections.Counter(tuple(r) for r in orderhash.fingerprints(df).collect()) == want
-    assert orderhash.fingerprints(none).count() == 0
-
-
-def test_order_minhash_many_buckets(spark, monkeypatch):
+def check_order_minhash(df):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    docs = sorted(((d is None, d or 0, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t or "", d) for d, t in texts_of(df)), key=lambda x: x[:3])
+    want = collections.Counter()
+    for i, (*_, t, d) in enumerate(docs):
+        following = docs[(i + 1) % len(docs)][3]
+        e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        f, g, h = (orderhash.fingerprint(x) for x in (t, e, following))
+        want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), orderhash.likeness(f, g), orderhash.likeness(f, h)] += 1
+    assert collections.Counter(tuple(r) for r in orderhash.fingerprints(df).collect()) == want
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "50"])
+def test_order_minhash(spark, odd, none, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = spark.createDataFrame([(None, "null id")] * 40 + [(None, f"t {i}") for i in range(40)] + [(5, "five")] * 40 + [(i, f"own words of {i}") for i in range(40)], "doc_id long, text string")
+        for df in (spark.read.parquet(f"{TINY}/documents.parquet"), odd, odd.limit(1), same):
+            check_order_minhash(df)
+        assert orderhash.fingerprints(none).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_order_minhash_by_hand(spark):
+    """The fingerprint again in plain Python: occurrence-numbered k-mers, least two of each hash, text order, hashed tuples."""
+    full, a, b = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def mix(h):
+        h = (h ^ (h >> 32)) * a & full
+        h = (h ^ (h >> 29)) * b & full
+        return h ^ (h >> 32)
+
+    def plain(text):
+        words = [w[i : i + orderhash.TOKEN] for w in text.split() for i in range(0, len(w), orderhash.TOKEN)]
+        tokens = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+        kmers, seen, numbered = [], collections.Counter(), []
+        for i in range(max(1, len(tokens) - orderhash.K + 1) if tokens else 0):
+            k = 0
+            for t in tokens[i : i + orderhash.K]:
+                k = mix((k + t) & full)
+            kmers.append(k)
+            numbered.append(mix((k + seen[k] * b) & full))
+            seen[k] += 1
+        out = []
+        for odd, turn in zip(orderhash._ODD.tolist(), orderhash._TURN.tolist()):
+            least = sorted(range(len(kmers)), key=lambda i: ((numbered[i] ^ turn) * odd & full, i))[: orderhash.PICKS]
+            sig = 0
+            for i in sorted(least):
+                sig = mix((sig * a + kmers[i]) & full)
+            out.append((sig & 0xFFFF if kmers else 0).to_bytes(2, "little"))
+        return b"".join(out)
+
+    texts = [t or "" for _, t in texts_of(spark.read.parquet(f"{TINY}/documents.parquet"))][:60]
+    for t in [*texts, "", " \n", "one", "one two", "la " * 500, "x" * 100, "é\u2003中文 " * 9]:
+        assert orderhash.fingerprint(t) == plain(t)
+
+
+def test_order_minhash_tells_neighbours(spark):
     made = queries.op5_order_minhash(spark, SMALL).collect()
-    monkeypatch.setattr(orderhash, "BUCKET_ROWS", 50)
-    big = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("doc_id", F.explode(F.expr("sequence(doc_id * 15, doc_id * 15 + 14)")))
-    got = orderhash.fingerprints(big.withColumn("text", F.concat(F.substring("text", 1, 60), F.col("doc_id").cast("string")))).collect()
-    assert sorted(r["doc_id"] for r in got) == list(range(15_000))
-    texts = {r["doc_id"]: r["text"][:60] + str(r["doc_id"]) for r in big.collect()}
-    for r in got:
-        e = orderhash.edited(texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 15_000])
-        assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
     assert np.mean([r["near_edited"] for r in made]) > 3 * np.mean([r["near_next"] for r in made])
 
 
