@@ -130,13 +130,13 @@ def _matched(top: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for q_ids, q_vectors, q_norms, dims, floors, ids, vectors, norms in zip(*[c.to_pylist() for c in b.columns]):
+            for cell, q_ids, q_vectors, q_norms, dims, floors, ids, vectors, norms in zip(*[c.to_pylist() for c in b.columns]):
                 qi, q, qn = _unpack(q_ids, q_vectors, q_norms, dims)
                 ci, c, cn = _unpack(ids, vectors, norms, dims)
                 low = np.frombuffer(floors, "<f8")
                 for j in range(qi.size):
-                    out += [(int(qi[j]), i, s) for s, i in best_of(int(qi[j]), q[j], float(qn[j]), ci, c, cn, float(low[j]), top)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["query_id", "vec_id", "score"])
+                    out += [(int(qi[j]), cell, i, s) for s, i in best_of(int(qi[j]), q[j], float(qn[j]), ci, c, cn, float(low[j]), top)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["query_id", "cell", "vec_id", "score"])
 
     return batches
 
@@ -188,9 +188,13 @@ def top_products(vectors: DataFrame, queries: Column, id_col: str = "vec_id", ve
     blocks = max(1, c.count())
     q, c = _placed(q, c, blocks)
     pairs = q.join(c, ["cell", "dims"]).where(F.col("longest") >= F.col("need") * (1 - 1e-9))
-    got = pairs.select("q_ids", "q_vectors", "q_norms", "dims", "floors", "ids", "vectors", "norms").mapInArrow(_matched(top), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    got = pairs.select("cell", "q_ids", "q_vectors", "q_norms", "dims", "floors", "ids", "vectors", "norms").mapInArrow(_matched(top), "query_id long, cell long, vec_id long, score long")
+    # A query that all cells may answer, such as a common vector, has its best found by parts of the cells first.
+    got = got.withColumn("part", F.pmod("cell", F.lit(max(1, round(blocks**0.5)))))
+    for keys in (["query_id", "part"], ["query_id"]):
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+        got = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return got.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

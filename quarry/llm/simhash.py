@@ -1,4 +1,19 @@
-"""SimHash near-duplicates: fingerprints, a grid join on segment popcounts, exact checks, components."""
+"""SimHash near-duplicates: fingerprints, a grid join on segment popcounts, exact checks, components.
+
+The embedding maps a fingerprint to the bit counts of its 32 two-bit segments; the Manhattan distance of
+two embeddings is at most the Hamming distance of the fingerprints. The range join, Manhattan distance at
+most 3, is done as equi-joins: the segments fall into blocks, a distance of 3 touches at most 3 of them,
+so two vectors in range agree in all others, and each choice of the others is one grid whose cells join on
+equality. Neighbouring cells of one coarse grid would have to be joined instead if segments were few and
+long, but counts of long segments of random bits crowd around their mean (of 8-bit segments over half are
+3 to 5), so almost all pairs would be in range of each other.
+
+What a cell does depends on how many different fingerprints it holds, the result does not: up to PAIRED
+all pairs are compared in the join; up to SWEPT one task links them (n^2 / 2 comparisons of bits, a
+forest of fewer than n links comes out); of more, any two within 3 bits have a point between them that is
+1 bit from one and at most 2 from the other, and meet there (65 and 2081 rows a fingerprint, n times a
+constant, so there is no quadratic work left).
+"""
 
 from __future__ import annotations
 
