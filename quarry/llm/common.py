@@ -59,17 +59,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Like checkpointed(), as a Parquet table: smaller on disk, read by column. It goes when the driver ends."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    del df  # if the caller does not hold it either, its shuffle files can go
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished phases; it does so as the driver's garbage goes."""
+    """Lets Spark delete the shuffle files of finished phases; it does so as the driver's garbage goes.
+    Spark holds on to the last query that it ran, so a small one takes its place first."""
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

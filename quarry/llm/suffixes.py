@@ -25,8 +25,10 @@ from quarry.llm.common import joined_salted, row_hash, text_runs, written
 LENGTH = 200
 ANCHOR = 48
 HOT = 4096  # different spans with one anchor beyond which a bucket cannot hold them; their windows are matched by 128-bit digests
-_CHUNK = 1 << 19
-_BATCH = 8 << 20  # bytes of spans sorted together, at least
+_CHUNK = 1 << 16  # bytes whose anchors are found together: arrays that stay in cache
+_ROWS = 1 << 16  # spans in a batch, about
+_BATCH = 4 << 20  # bytes of spans sorted together, at least
+_CUT = 2 * LENGTH - ANCHOR  # bytes of the longest span, a multiple of 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -106,9 +108,20 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "start", "n", "off", "anchor", "content"]
     for b in batches:
         texts = [t or b"" for t in b.column(1).to_pylist()]
-        for text, start, n, off, anchor, digest in spans_of(texts):
-            signed = [x.view(np.int64) for x in (anchor, np.array(digest, np.uint64))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(start), pa.array(n, pa.int32()), pa.array(off, pa.int32()), *map(pa.array, signed)], names)
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            text, start, n, off, anchor, digest = (np.concatenate(c) for c in zip(*held))  # noqa: B023
+            signed = [x.view(np.int64) for x in (anchor, digest)]
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(start), pa.array(n, pa.int32()), pa.array(off, pa.int32()), *map(pa.array, signed)], names)  # noqa: B023
+
+        for *found, digest in spans_of(texts):
+            held.append((*found, np.array(digest, np.uint64)))
+            if sum(len(x[0]) for x in held) >= _ROWS:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
 
 
 def multikey_quicksort(words: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -153,6 +166,26 @@ def equal_neighbours(words: np.ndarray, at: np.ndarray, group: np.ndarray, order
     return same
 
 
+def equal_spans(segments: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment (anchor, n, off, text) one that has the same bytes at the same place of its anchor,
+    the same for all of them, and whether there is another. Whole segments are sorted, neighbours compared."""
+    words = _words(np.frombuffer(b"".join(s[3].ljust(_CUT, b"\0") for s in segments), np.uint8))
+    at = np.arange(len(segments)) * _CUT
+    group = np.unique(np.array([s[0] for s in segments]), return_inverse=True)[1] * LENGTH * LENGTH + np.array([s[1] * LENGTH + s[2] for s in segments])
+    order = multikey_quicksort(words, at, group, _CUT)
+    pair = np.flatnonzero(group[order[1:]] == group[order[:-1]])
+    for depth in range(0, _CUT, 8):
+        pair = pair[words[at[order[pair]] + depth] == words[at[order[pair + 1]] + depth]]
+    starts = np.ones(len(segments), bool)
+    starts[pair + 1] = False
+    run = np.cumsum(starts) - 1
+    least = np.empty(len(segments), np.int64)
+    least[order] = order[starts][run]
+    several = np.empty(len(segments), bool)
+    several[order] = (np.bincount(run) > 1)[run]
+    return least, several
+
+
 def repeated_windows(segments: list[tuple[int, int, int, bytes]]) -> np.ndarray:
     """For the windows of the segments (anchor, n, off, text), in order, whether another is equal."""
     n = np.array([s[1] for s in segments])
@@ -173,18 +206,28 @@ def _true_runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket, sorted by leading bytes and anchor: sorts the suffixes of whole anchor groups. Found
-    ranges, from the span's start, come once for each content."""
+    """A bucket, sorted by leading bytes and anchor: sorts whole anchor groups, first spans as they are,
+    then, of anchors with different ones, the suffixes of each. Found ranges, from the span's start,
+    come once for each content."""
     held: list[tuple] = []
     total = 0
 
     def flush() -> pa.RecordBatch:
-        same = repeated_windows([(anchor, n, off, cut) for anchor, _, _, n, off, cut in held])
-        out, i = [], 0
-        for anchor, content, first, n, _, _ in held:
+        segments = [(anchor, n, off, cut) for anchor, _, _, n, off, cut in held]
+        least, several = equal_spans(segments)
+        kinds = np.unique(least)
+        anchors = np.array([segments[i][0] for i in kinds])
+        mixed = kinds[np.isin(anchors, anchors[np.r_[False, np.diff(anchors) == 0]])]  # anchors come together
+        same = repeated_windows([segments[i] for i in mixed]) if mixed.size else np.empty(0, bool)
+        runs: dict[int, list[tuple[int, int]]] = {}
+        at = 0
+        for i in mixed.tolist():
+            runs[i] = _true_runs(same[at : at + segments[i][1]])
+            at += segments[i][1]
+        out = []
+        for (anchor, content, first, n, _, _), i, whole in zip(held, least.tolist(), several.tolist()):
             if first:
-                out += [(anchor, content, a, b - 1 + LENGTH) for a, b in _true_runs(same[i : i + n])]
-            i += n
+                out += [(anchor, content, a, b - 1 + LENGTH) for a, b in ([(0, n)] if whole else runs.get(i, []))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, _FOUND)], ["anchor", "content", "lo", "hi"])
 
     for b in batches:
@@ -259,9 +302,15 @@ def repeated_ranges(d: DataFrame) -> DataFrame:
     seen = written(spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     cand = written(spans.join(seen.hint("shuffle_hash"), "anchor", "left_semi"))
     where = F.struct("row", "start", "n", "off")
-    reps = cand.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(where).alias("least"), F.max(where).alias("most"))
-    reps = written(reps)
-    kinds = written(reps.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("hot")))
+    reps = written(cand.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(where).alias("least"), F.max(where).alias("most")))
+    verdicts = written(_verdicts(d, reps))
+    return joined_salted(cand.select("row", "start", "anchor", "content"), verdicts, ["anchor", "content"], "times").select("row", "start", "ranges")
+
+
+def _verdicts(d: DataFrame, reps: DataFrame) -> DataFrame:
+    """anchor, content, times, ranges (lo, hi from the span's start): what the sort finds of the spans in reps."""
+    kinds = reps.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("hot"))
+    kinds = written(kinds)
     any_hot = not kinds.isEmpty()
     two = F.array(F.struct("least.*", F.lit(True).alias("first")), F.when(F.col("times") > 1, F.struct("most.*", F.lit(False).alias("first"))))
     each = reps.select("anchor", "content", F.explode(F.array_compact(two)).alias("x")).select("anchor", "content", "x.*")
@@ -279,8 +328,7 @@ def repeated_ranges(d: DataFrame) -> DataFrame:
         again = joined_salted(w.select("anchor", "content", "lo", "d1", "d2"), twice.select("d1", "d2", "rows"), ["d1", "d2"], "rows")
         found = found.unionByName(again.select("anchor", "content", "lo", (F.col("lo") + LENGTH).alias("hi")))
     verdicts = found.groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    verdicts = written(verdicts.join(reps.select("anchor", "content", "times"), ["anchor", "content"]))
-    return joined_salted(cand.select("row", "start", "anchor", "content"), verdicts, ["anchor", "content"], "times").select("row", "start", "ranges")
+    return verdicts.join(reps.select("anchor", "content", "times"), ["anchor", "content"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
