@@ -1,13 +1,16 @@
 import json
+import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.catalog import Catalog
 from quarry.engine import Engine
 from quarry.errors import EngineError, ErrorCode
 from quarry.importer import statistics
-from quarry.sources import avro, files
+from quarry.sources import avro, files, iceberg
 from quarry.sources.predicates import Combined, Compare
 from quarry.streaming import queries as streams
 
@@ -113,6 +116,106 @@ def test_iceberg_position_deletes(spark, tmp_path):
     assert sorted(r["order_id"] for r in files.read(spark, "iceberg", str(tmp_path / "t")).collect()) == [2, 4]
 
 
+NUMBER = {"type": "array", "items": {"type": "record", "name": "kn", "fields": [{"name": "key", "type": "int"}, {"name": "value", "type": "long"}]}}
+BOUND = {"type": "array", "items": {"type": "record", "name": "kb", "fields": [{"name": "key", "type": "int"}, {"name": "value", "type": "bytes"}]}}
+
+
+def _table(spark, root, data, fields, deletes=(), older=()):
+    """An Iceberg table as a writer makes it. data: (sequence, schema with field ids, rows, bounds by id); deletes: (sequence, equality id, schema, rows)."""
+    (root / "metadata").mkdir(parents=True)
+    types = {"long": "long", "string": "string", "double": "double"}
+
+    def write(name, names, rows):
+        schema = T.StructType([T.StructField(n, T._parse_datatype_string(types[k]), True, {"parquet.field.id": i} if i else {}) for i, n, k in names])
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(root / name))
+        return "file://" + str(next((root / name).glob("*.parquet")))
+
+    def packed(v):
+        return v.encode() if isinstance(v, str) else struct.pack("<d", v) if isinstance(v, float) else v.to_bytes(8, "little", signed=True)
+
+    file = {"type": "record", "name": "f", "fields": [
+        {"name": "content", "type": "int"}, {"name": "file_path", "type": "string"}, {"name": "file_format", "type": "string"}, {"name": "record_count", "type": "long"}, {"name": "file_size_in_bytes", "type": "long"},
+        {"name": "null_value_counts", "type": NUMBER}, {"name": "lower_bounds", "type": BOUND}, {"name": "upper_bounds", "type": BOUND | {"items": BOUND["items"] | {"name": "kb2"}}}, {"name": "equality_ids", "type": {"type": "array", "items": "int"}},
+    ]}
+    manifest = {"type": "record", "name": "m", "fields": [{"name": "status", "type": "int"}, {"name": "sequence_number", "type": ["null", "long"]}, {"name": "data_file", "type": file}]}
+    listed = []
+    for k, (sequence, names, rows, bounds) in enumerate(data):
+        path = write(f"data{k}", names, rows)
+        part = lambda j, b=bounds: [{"key": i, "value": packed(v[j])} for i, v in b.items()]
+        nulls = [{"key": i, "value": sum(r[c] is None for r in rows)} for c, (i, _, _) in enumerate(names) if i]
+        listed.append((sequence, {"content": 0, "file_path": path, "record_count": len(rows), "null_value_counts": nulls, "lower_bounds": part(0), "upper_bounds": part(1), "equality_ids": []}))
+    for k, (sequence, ids, names, rows) in enumerate(deletes):
+        listed.append((sequence, {"content": 2, "file_path": write(f"gone{k}", names, rows), "record_count": len(rows), "null_value_counts": [], "lower_bounds": [], "upper_bounds": [], "equality_ids": ids}))
+    heads = []
+    for k, (sequence, f) in enumerate(listed):
+        where = root / "metadata" / f"m{k}.avro"
+        where.write_bytes(avro.write_file([{"status": 1, "sequence_number": None, "data_file": f | {"file_format": "parquet", "file_size_in_bytes": 1000}}], manifest))
+        heads.append({"manifest_path": f"file://{where}", "sequence_number": sequence})
+    (root / "metadata" / "l.avro").write_bytes(avro.write_file(heads, {"type": "record", "name": "l", "fields": [{"name": "manifest_path", "type": "string"}, {"name": "sequence_number", "type": "long"}]}))
+    made = [{"schema-id": v, "type": "struct", "fields": [{"id": i, "name": n, "required": False, "type": k} for i, n, k in each]} for v, each in ((1, older), (2, fields))]
+    meta = {"current-snapshot-id": 7, "current-schema-id": 2, "schemas": made}
+    (root / "metadata" / "v3.metadata.json").write_text(json.dumps(meta | {"snapshots": [{"snapshot-id": 7, "manifest-list": f"file://{root}/metadata/l.avro"}]}))
+    return str(root)
+
+
+def test_iceberg_columns_go_by_field_id(spark, tmp_path):
+    """b was renamed to c, then another b was added: old files have no value for it."""
+    old, new = [(1, "a", "long"), (2, "b", "string")], [(1, "a", "long"), (2, "c", "string"), (3, "b", "double")]
+    where = _table(spark, tmp_path / "t", [(1, old, [(1, "x"), (2, None)], {}), (2, new, [(3, "y", 0.5)], {})], new, older=old)
+    got = files.read(spark, "iceberg", where)
+    assert got.columns == ["a", "c", "b"] and sorted(map(tuple, got.collect())) == [(1, "x", None), (2, None, None), (3, "y", 0.5)]
+    nameless = [(None, n, k) for _, n, k in new]
+    plain = files.read(spark, "iceberg", _table(spark, tmp_path / "u", [(1, nameless, [(4, "z", 1.5)], {})], new))
+    assert [tuple(r) for r in plain.collect()] == [(4, "z", 1.5)]
+    same = files.read(spark, "iceberg", _table(spark, tmp_path / "v", [(1, old, [(1, "x")], {})], old)).where("a = 1")
+    assert "EqualTo(a,1)" in same._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in same.collect()] == [(1, "x")]
+
+
+def test_iceberg_equality_deletes(spark, tmp_path):
+    """Deletes reach files that are older than they are; nulls are equal."""
+    cols = [(1, "a", "long"), (2, "b", "string")]
+    rows = [(1, "x"), (2, None), (3, "y"), (None, "z")]
+    deletes = [(2, [2], cols[1:], [("x",), (None,)]), (2, [1], cols[:1], [(None,)])]
+    where = _table(spark, tmp_path / "t", [(1, cols, rows, {}), (2, cols, [(5, "x"), (6, None)], {})], cols, deletes)
+    assert sorted(map(tuple, files.read(spark, "iceberg", where).collect()), key=str) == [(3, "y"), (5, "x"), (6, None)]
+    found = {len(t.delete_files): t.row_count for t in files.tasks(spark, "iceberg", where)}
+    assert found == {2: 4, 0: 2}
+
+
+@pytest.mark.parametrize(
+    ("predicate", "left"),
+    [
+        (Compare("a", "gt", 10), [1, 2]), (Compare("a", "eq", 5), [0]), (Compare("a", "in", (1, 25)), [0, 2]), (Compare("b", "lt", "n"), [0]), (Compare("b", "ge", "zz"), []), (Compare("a", "is_null"), [1]), (Compare("a", "ne", 5), [0, 1, 2]),
+        (Combined("and", (Compare("a", "gt", 10), Compare("b", "eq", "q"))), [1]), (Combined("or", (Compare("a", "lt", 3), Compare("a", "gt", 22))), [0, 2]), (Combined("not", (Compare("a", "gt", 10),)), [0, 1, 2]),
+    ],
+)
+def test_iceberg_pruning(spark, tmp_path, predicate, left):
+    cols = [(1, "a", "long"), (2, "b", "string")]
+    parts = [[(1, "a"), (9, "m")], [(11, "p"), (None, "q"), (19, "r")], [(21, "s"), (29, "t")]]
+    bounds = [{1: (p[0][0], p[-1][0]), 2: (p[0][1], p[-1][1])} for p in parts]
+    where = _table(spark, tmp_path / "t", [(1, cols, p, b) for p, b in zip(parts, bounds)], cols)
+    planned = iceberg.plan(spark, where, None, predicate)
+    assert planned.files == 3 and sorted(int(re.search(r"data(\d)", f.path)[1]) for f in planned.data) == left
+    every = spark.createDataFrame([r for p in parts for r in p], "a long, b string").where(predicate.col())
+    got = files.scan(spark, "iceberg", where, request=files.ScanRequest(predicate=predicate))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, every.collect()), key=str)
+
+
+def test_scan_tasks(spark, places):
+    found = files.tasks(spark, "parquet", places["parquet"], max_bytes=500)
+    assert found[0].start == 0 and [t.start for t in found] == [500 * i for i in range(len(found))] and all(0 < t.length <= 500 for t in found)
+    assert {t.format for t in files.tasks(spark, "avro", places["avro"])} == {"avro"} and len(files.tasks(spark, "avro", places["avro"])) == 2
+
+
+def test_avro_unions(spark, tmp_path):
+    union = lambda *k: {"type": "record", "name": "u", "fields": [{"name": "x", "type": ["null", *k]}]}
+    assert avro.schema_in(avro.write_file([], union("int", "double", "long"))).fields[0].dataType == T.DoubleType()
+    with pytest.raises(ValueError, match="union"):
+        avro.schema_in(avro.write_file([], union("string", "long")))
+    (tmp_path / "u.avro").write_bytes(avro.write_file([{"x": 3}, {"x": None}], union("long", "double")))
+    assert [r["x"] for r in avro.read(spark, str(tmp_path / "u.avro")).collect()] == [3.0, None]
+
+
 def test_catalog(tmp_path):
     c = Catalog(str(tmp_path / "c.sqlite"))
     c.create_namespace("sales", {"owner": "x"})
