@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 import time
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
+from quarry.settings import Settings
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarry", description=__doc__)
-    p.add_argument("--url", default=os.environ.get("QUARRY_URL", "http://127.0.0.1:8080"))
+    p.add_argument("--url", default=Settings.of().url)
     sub = p.add_subparsers(dest="command", required=True)
     q = sub.add_parser("query", help="run SQL and print its rows")
     q.add_argument("sql")
@@ -34,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
         if name == "create-table":
             t.add_argument("--format", required=True, choices=["csv", "parquet", "avro", "orc", "iceberg"])
             t.add_argument("--location", required=True)
-            t.add_argument("--schema", required=True, help='JSON, such as {"fields": [{"name": "id", "data_type": "int64"}]}')
+            t.add_argument("--schema", required=True, help='the columns as JSON: {"fields": [...]} with a name, a data_type and, if nulls are refused, nullable: false for each')
     i = sub.add_parser("import", help="load files into a table")
     i.add_argument("namespace")
     i.add_argument("table")
@@ -43,8 +44,8 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--partitions", type=int, default=1)
     i.add_argument("--key")
     s = sub.add_parser("serve", help="start the service on this machine's Spark")
-    s.add_argument("--port", type=int, default=8080)
-    s.add_argument("--catalog", default="catalog.sqlite")
+    s.add_argument("--port", type=int, default=Settings.of().port)
+    s.add_argument("--catalog", default=Settings.of().catalog)
     return p
 
 
@@ -109,7 +110,10 @@ def _serve(port: int, catalog: str) -> int:
     from quarry.http_api import server
     from quarry.service import QueryService
 
-    service = QueryService(Engine(SparkSession.builder.appName("quarry").getOrCreate(), Catalog(catalog)))
+    known = Settings.of()
+    builder = SparkSession.builder.appName("quarry")
+    spark = (builder.master(known.master) if known.master else builder).getOrCreate()
+    service = QueryService(Engine(spark, Catalog(catalog)), known.workers, known.most_rows, known.held_rows, known.keep_seconds)
     with server(service, port=port) as s:
         print(f"listening on {s.server_address[1]}", flush=True)
         s.serve_forever()

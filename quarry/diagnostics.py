@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass
@@ -60,10 +61,54 @@ def plans(df: DataFrame) -> dict:
     rows = stats.rowCount()
     return {
         "analyzed": q.analyzed().toString(), "optimized": opt.toString(), "physical": q.executedPlan().toString(), "rules": rules(df), "joins": join_decisions(q.executedPlan().toString()),
-        "estimate": {"size_bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else None},
+        "estimates": estimates(opt), "alternatives": alternatives(df.sparkSession, opt), "runtime_filters": runtime_filters(opt.toString() + q.executedPlan().toString()), "estimate": {"size_bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else None},
     }
 
 
+def _walk(node) -> list:
+    out, it = [node], node.children().iterator()
+    while it.hasNext():
+        out += _walk(it.next())
+    return out
+
+
+def _size(node) -> tuple[int, int | None]:
+    stats = node.stats()
+    rows = stats.rowCount()
+    return int(str(stats.sizeInBytes())), int(str(rows.get())) if rows.isDefined() else None
+
+
+def estimates(optimized) -> list[dict]:
+    """What the optimizer expects of each node, from the root down; rows only where tables have statistics."""
+    return [{"node": n.nodeName(), "detail": n.simpleString(8)[:120], "size_bytes": _size(n)[0], "rows": _size(n)[1]} for n in _walk(optimized)]
+
+
+def alternatives(spark: SparkSession, optimized) -> list[dict]:
+    """For each join the strategies open to it, and why each is or is not taken before adaptive execution."""
+    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    out = []
+    for n in _walk(optimized):
+        if n.nodeName() != "Join":
+            continue
+        kind, sides = n.joinType().sql(), {"left": _size(n.left())[0], "right": _size(n.right())[0]}
+        ways = []
+        for side, size in sides.items():
+            kept = {"left": ("LEFT", "FULL"), "right": ("RIGHT", "FULL")}[side]  # a side that keeps all its rows cannot be sent everywhere
+            reason = f"{kind.lower()} joins keep the rows of that side" if kind.startswith(kept) else "broadcasts are off" if limit < 0 else f"{size} bytes are over {limit}" if size > limit else None
+            ways.append({"strategy": "broadcast", "build": side, "size_bytes": size, "rejected": reason})
+        fits = [w for w in ways if w["rejected"] is None]
+        for w in fits[1:] if fits and fits[0]["size_bytes"] <= fits[-1]["size_bytes"] else fits[:-1]:
+            w["rejected"] = "the other side is smaller"
+        ways.append({"strategy": "repartition", "build": None, "size_bytes": sum(sides.values()), "rejected": "a side fits a broadcast" if fits else None})
+        out.append({"join": n.simpleString(8)[:120], "alternatives": ways})
+    return out
+
+
+def runtime_filters(plan: str) -> dict[str, int]:
+    """Filters that one side of a join makes for the other's scan."""
+    return {"bloom": len(re.findall(r"might_contain\(", plan)), "dynamic_pruning": len(re.findall(r"dynamicpruning", plan))}
+
+
 def join_decisions(physical: str) -> list[dict]:
     """The joins of a physical plan with their strategies and build sides."""
     found = re.findall(r"\b((?:BroadcastHash|SortMerge|ShuffledHash|BroadcastNestedLoop)Join|CartesianProduct)\b(.*)", physical)
@@ -80,9 +125,27 @@ def stages_of(sc, tag: str) -> list[dict]:
             if s.isDefined():
                 s = s.get()
                 out[stage] = {"stage_id": stage, "job_id": job, "name": s.name()[:80], "tasks": s.numTasks(), "completed": s.numCompletedTasks(), "failed_tasks": s.numFailedTasks(), "attempt": s.currentAttemptId()}
+                out[stage] |= _task_facts(sc, stage)
     return [out[k] for k in sorted(out)]
 
 
+def _task_facts(sc, stage: int) -> dict:
+    """Shuffled rows, times and the latest tasks of a stage's last attempt; a task's attempt counts its retries."""
+    store = sc._jsc.sc().statusStore()
+    try:
+        s = store.lastStageAttempt(stage)
+        tasks, it = [], store.taskList(stage, s.attemptId(), 1000).iterator()
+        while it.hasNext():
+            t = it.next()
+            took = t.duration()
+            tasks.append({"task": t.index(), "attempt": t.attempt(), "status": t.status(), "executor": t.executorId(), "milliseconds": took.get() if took.isDefined() else None})
+        at = {k: v.get().getTime() / 1000 if v.isDefined() else None for k, v in (("submitted", s.submissionTime()), ("finished", s.completionTime()))}
+        retries = sum(t["attempt"] > 0 for t in tasks)
+        return {"shuffle_rows_read": s.shuffleReadRecords(), "shuffle_rows_written": s.shuffleWriteRecords(), "retries": retries, "task_attempts": sorted(tasks, key=lambda t: (t["task"], t["attempt"])), **at}
+    except Py4JJavaError:  # the driver keeps facts of the latest stages only
+        return {}
+
+
 def rules(df: DataFrame) -> dict[str, int]:
     out, it = {}, df._jdf.queryExecution().tracker().rules().iterator()
     while it.hasNext():

@@ -1,9 +1,10 @@
-"""Imports: source files into partitions of a table, with exact statistics, published by a manifest."""
+"""Imports: source files into partitions of a table, with statistics, published by a manifest."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +19,17 @@ from quarry.sql.types import schema_of
 WRITABLE = ("csv", "parquet", "orc")
 
 
-def statistics(df: DataFrame, exact: bool = True) -> dict:
-    """Rows, and for each column nulls, distinct values, least, greatest and mean bytes, in one pass;
-    exact=False sketches the distinct counts, for tables where exact ones cost too much."""
+def statistics(df: DataFrame, exact: Collection[str] = ()) -> dict:
+    """Rows, and for each column nulls, distinct values, least, greatest and mean bytes, in one pass.
+    Distinct values are sketched; those of columns in exact are counted, at the cost of a shuffle
+    of all their values."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(quoted(f.name))
         plain = isinstance(f.dataType, AtomicType)
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
         if plain:
-            aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"d{i}"))
+            aggs.append((F.count_distinct(c) if f.name in exact else F.approx_count_distinct(c, 0.02)).alias(f"d{i}"))
             if not isinstance(f.dataType, BinaryType):
                 aggs += [F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}")]
             aggs.append(F.avg(F.octet_length(c.cast("string"))).alias(f"b{i}"))
@@ -42,7 +44,7 @@ class Importer:
     def __init__(self, spark: SparkSession, catalog: Catalog):
         self.spark, self.catalog = spark, catalog
 
-    def import_table(self, namespace: str, table: str, source: str, source_format: str | None = None, partitions: int = 1, key: str | None = None, exact: bool = True) -> dict:
+    def import_table(self, namespace: str, table: str, source: str, source_format: str | None = None, partitions: int = 1, key: str | None = None, exact: Collection[str] = ()) -> dict:
         """key: partitions by its hash; without, evenly. Names and their order must match the table's."""
         doc = self.catalog.table(namespace, table)
         fmt = source_format or doc["format"]

@@ -36,7 +36,7 @@ class Query:
     state: State = State.QUEUED
     error: dict | None = None
     columns: list[dict] = field(default_factory=list)
-    rows: list[list] = field(default_factory=list)
+    rows: list[list] | None = field(default_factory=list)  # None once they have expired
     plan: dict | None = None
     diagnostics: diagnostics.Diagnostics | None = None
     timeline: list[dict] = field(default_factory=list)
@@ -47,10 +47,14 @@ class Query:
 
 
 class QueryService:
-    """most_rows bounds what the driver holds of one result; write larger ones with Engine.sql(...).write."""
+    """most_rows bounds what the driver holds of one result; write larger ones with Engine.sql(...).write.
 
-    def __init__(self, engine: Engine, workers: int = 4, most_rows: int = 1_000_000):
-        self.engine, self.most_rows = engine, most_rows
+    Results expire after keep_seconds, and the oldest as soon as all together have over held_rows rows;
+    what is known of their queries stays.
+    """
+
+    def __init__(self, engine: Engine, workers: int = 4, most_rows: int = 1_000_000, held_rows: int = 5_000_000, keep_seconds: float = 3600.0):
+        self.engine, self.most_rows, self.held_rows, self.keep_seconds = engine, most_rows, held_rows, keep_seconds
         self._queries: dict[str, Query] = {}
         self._lock = threading.Lock()
         self._pool = ThreadPoolExecutor(workers, thread_name_prefix="query")
@@ -99,12 +103,24 @@ class QueryService:
             q.diagnostics.timeline = q.timeline
             q.diagnostics.stages = diagnostics.stages_of(sc, q.query_id)
             self._to(q, State.SUCCEEDED)
+            self._expire()
         except Exception as e:
             q.error = from_spark(e).as_dict()["error"]
             self._to(q, State.FAILED)
         finally:
             sc.clearJobTags()
 
+    def _expire(self) -> None:
+        with self._lock:
+            ended = sorted((q for q in self._queries.values() if q.state == State.SUCCEEDED and q.rows), key=lambda q: q.timeline[-1]["at"])
+            held = sum(len(q.rows) for q in ended)
+            for q in ended[:-1] if ended else []:
+                if held > self.held_rows or time.time() - q.timeline[-1]["at"] > self.keep_seconds:
+                    held -= len(q.rows)
+                    q.rows = None
+            if ended and time.time() - ended[-1].timeline[-1]["at"] > self.keep_seconds:
+                ended[-1].rows = None
+
     def explain(self, sql: str) -> dict:
         return self.engine.explain(sql)
 
@@ -137,7 +153,11 @@ class QueryService:
         if offset < 0 or not 1 <= limit <= 1000:
             raise EngineError(ErrorCode.INVALID_REQUEST, "offset is at least 0, limit from 1 to 1000.")
         self._succeeded(q)
-        return {"query_id": query_id, "columns": q.columns, "rows": q.rows[offset : offset + limit], "offset": offset, "limit": limit, "total": len(q.rows)}
+        self._expire()
+        rows = q.rows
+        if rows is None:
+            raise EngineError(ErrorCode.NOT_FOUND, f"The rows of query {query_id} have expired; run it again.", query_id=query_id)
+        return {"query_id": query_id, "columns": q.columns, "rows": rows[offset : offset + limit], "offset": offset, "limit": limit, "total": len(rows)}
 
     def _succeeded(self, q: Query) -> None:
         if q.state != State.SUCCEEDED:

@@ -5,7 +5,7 @@ import urllib.error
 import pytest
 
 import quarry.cli as cli
-from quarry import advisor
+from quarry import advisor, diagnostics
 from quarry.catalog import Catalog
 from quarry.diagnostics import Diagnostics, Join, Operator
 from quarry.engine import Engine
@@ -120,3 +120,69 @@ def test_http_and_cli(service, tmp_path, capsys):
                 client.call(method, path, body)
             assert e.value.code == status and "code" in json.loads(e.value.read())["error"]
         s.shutdown()
+
+
+def test_settings_come_from_the_environment():
+    from quarry.settings import Settings
+
+    assert Settings.of({}) == Settings()
+    got = Settings.of({"QUARRY_WORKERS": "9", "QUARRY_URL": "http://x", "QUARRY_KEEP_SECONDS": "1.5", "OTHER": "1"})
+    assert (got.workers, got.url, got.keep_seconds, got.most_rows) == (9, "http://x", 1.5, 1_000_000)
+    for bad in ({"QUARRY_WORKERS": "many"}, {"QUARRY_MOST_ROWS": "0"}):
+        with pytest.raises(EngineError):
+            Settings.of(bad)
+
+
+def test_results_expire(spark):
+    service = QueryService(Engine(spark).register("t", spark.range(30)), held_rows=50)
+    ids = [service.submit("SELECT id FROM t")["query_id"] for _ in range(1)]
+    service.wait(ids[0], 60)
+    assert service.results(ids[0])["total"] == 30
+    ids.append(service.submit("SELECT id FROM t")["query_id"])
+    service.wait(ids[1], 60)
+    assert service.results(ids[1])["total"] == 30
+    with pytest.raises(EngineError, match="expired") as e:
+        service.results(ids[0])
+    assert e.value.code is ErrorCode.NOT_FOUND and service.get(ids[0])["state"] == "succeeded"
+    service.keep_seconds = 0
+    with pytest.raises(EngineError, match="expired"):
+        service.results(ids[1])
+    service.close()
+
+
+def test_task_facts_and_evidence(spark):
+    service = QueryService(Engine(spark).register("t", spark.range(1000).selectExpr("id", "id % 7 AS k")))
+    q = service.submit("SELECT k, COUNT(*) AS n FROM t GROUP BY k")["query_id"]
+    assert service.wait(q, 60)["state"] == "succeeded"
+    stages = service.metrics(q)["stages"]
+    assert sum(s["shuffle_rows_written"] for s in stages) >= 7 and sum(s["shuffle_rows_written"] for s in stages) == sum(s["shuffle_rows_read"] for s in stages)
+    assert all(s["retries"] == 0 and {t["status"] for t in s["task_attempts"]} <= {"SUCCESS"} for s in stages) and any(s["task_attempts"] for s in stages)
+    found = advisor.advise(diagnostics.Diagnostics(shuffle_partitions=[[1 << 20, 10 << 20, 1 << 20]]))["findings"][0]
+    assert found["code"] == "SHUFFLE_SKEW" and found["evidence"]["threshold"] == 3.0 and found["cause"] and found["effect"]
+    service.close()
+
+
+def test_estimates_alternatives_and_runtime_filters(spark):
+    folder = "/root/testdata/sf0.01"
+    engine = Engine(spark).register_folder(folder, ["lineitem", "orders", "nation", "region"])
+    plan = engine.explain("SELECT n.n_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey")
+    assert plan["estimates"][0]["size_bytes"] > 0 and {"Join", "Project"} <= {e["node"] for e in plan["estimates"]}
+    left, right, whole = plan["alternatives"][0]["alternatives"]
+    assert "keep the rows" in left["rejected"] and right["rejected"] is None and whole["rejected"] and plan["joins"][0]["build"] == "right"
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k) for k in changed}
+    sql = "SELECT l.l_orderkey, o.o_totalprice FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_totalprice > 400000"
+    want = sorted(map(tuple, engine.sql(sql).collect()))
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        plan = engine.explain(sql)
+        assert plan["runtime_filters"]["bloom"] > 0 and {a["rejected"] for a in plan["alternatives"][0]["alternatives"]} == {"broadcasts are off", None}
+        df = engine.sql(sql)
+        assert sorted(map(tuple, df.collect())) == want and len(want) > 0
+        ran = diagnostics.collect(df)
+        read, joined = (sum(o.metrics.get("numOutputRows", 0) for o in ran.operators if o.name == name) for name in ("FileSourceScan", "Filter"))
+        assert 0 < joined < read  # the filter kept rows of lineitem from the join
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
