@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     """
     sized = checkpointed(docs.select("doc_id", "source", row_hash("doc_id", "source", "text").alias("row"), word_count(F.col("text")).alias("size")))
     sources = checkpointed(source_targets(sized, weights, most))
-    line = checkpointed(lined_up(sized, sources, seed))
+    line = lined_up(sized, sources, seed)  # its exchanges are reused where it is read again
     r = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
     pieces = line.where("size > 0").select("source_no", "off", "size", F.floor("target").alias("upto"), "source_size", r.alias("round"))
     pieces = pieces.withColumn("at", F.col("round") * F.col("source_size") + F.col("off")).withColumn("end", F.least(F.col("at") + F.col("size"), "upto")).where("at < end")
