@@ -250,22 +250,22 @@ def _lead(cut: bytes, off: int) -> int:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "content", "first", "n", "off", "bytes", "lead", "hot"]
+    names = ["anchor", "content", "times", "first", "n", "off", "bytes", "lead", "hot"]
     for b in batches:
         for text, spans in zip(*[c.to_pylist() for c in b.columns]):
-            cols = {k: [s[k] for s in spans] for k in ("anchor", "content", "first", "n", "off", "hot")}
+            cols = {k: [s[k] for s in spans] for k in ("anchor", "content", "times", "first", "n", "off", "hot")}
             cut = [text[s["start"] : s["start"] + s["n"] + LENGTH - 1] for s in spans]
             lead = [_lead(c, o) for c, o in zip(cut, cols["off"])]
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
-            values = (cols["anchor"], cols["content"], cols["first"], cols["n"], cols["off"], cut, lead, cols["hot"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
+            values = (cols["anchor"], cols["content"], cols["times"], cols["first"], cols["n"], cols["off"], cut, lead, cols["hot"])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for anchor, content, n, cut in zip(*[c.to_pylist() for c in b.columns]):
+        for anchor, content, times, n, cut in zip(*[c.to_pylist() for c in b.columns]):
             two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(cut[i : i + LENGTH]) for i in range(n)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([content] * n), pa.array(range(n), pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], ["anchor", "content", "lo", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([content] * n), pa.array([times] * n), pa.array(range(n), pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], ["anchor", "content", "times", "lo", "d1", "d2"])
 
 
 def _merged(spans: list[dict]) -> list[list[int]]:
@@ -313,17 +313,17 @@ def _verdicts(d: DataFrame, reps: DataFrame) -> DataFrame:
     kinds = written(kinds)
     any_hot = not kinds.isEmpty()
     two = F.array(F.struct("least.*", F.lit(True).alias("first")), F.when(F.col("times") > 1, F.struct("most.*", F.lit(False).alias("first"))))
-    each = reps.select("anchor", "content", F.explode(F.array_compact(two)).alias("x")).select("anchor", "content", "x.*")
+    each = reps.select("anchor", "content", "times", F.explode(F.array_compact(two)).alias("x")).select("anchor", "content", "times", "x.*")
     each = each.join(kinds, "anchor", "left") if any_hot else each.withColumn("hot", F.lit(None).cast("boolean"))
-    per = each.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "first", "start", "n", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
+    per = each.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "times", "first", "start", "n", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
     cut = d.join(per.hint("shuffle_hash"), "row").select("bytes", "spans")
-    cut = cut.mapInArrow(_cut_out, "anchor long, content long, first boolean, n int, off int, bytes binary, lead long, hot boolean")
+    cut = cut.mapInArrow(_cut_out, "anchor long, content long, times long, first boolean, n int, off int, bytes binary, lead long, hot boolean")
     cut = written(cut) if any_hot else cut
     buckets = cut.where("not hot").repartitionByRange("lead", "anchor").sortWithinPartitions("lead", "anchor")
     found = buckets.select("anchor", "content", "first", "n", "off", "bytes").mapInArrow(_compare, "anchor long, content long, lo int, hi int")
     if any_hot:
-        w = cut.where("hot and first").select("anchor", "content", "n", "bytes").mapInArrow(_digests, "anchor long, content long, lo int, d1 long, d2 long")
-        w = written(w.join(reps.select("anchor", "content", "times"), ["anchor", "content"]))
+        w = cut.where("hot and first").select("anchor", "content", "times", "n", "bytes").mapInArrow(_digests, "anchor long, content long, times long, lo int, d1 long, d2 long")
+        w = written(w)
         twice = written(w.groupBy("d1", "d2").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 1"))
         again = joined_salted(w.select("anchor", "content", "lo", "d1", "d2"), twice.select("d1", "d2", "rows"), ["d1", "d2"], "rows")
         found = found.unionByName(again.select("anchor", "content", "lo", (F.col("lo") + LENGTH).alias("hi")))
