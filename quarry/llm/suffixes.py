@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,8 @@ def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:n], head[width - 1 : width - 1 + n])
 
 
-def spans_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """Text, first window's start, number of windows, anchor's place from it, anchor's hash, digests."""
+def spans_of(texts: list[bytes], digests: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """Text, first window's start, number of windows, anchor's place from it, anchor's hash, digests (if asked for)."""
     width = LENGTH - ANCHOR + 1
     for a, b in text_runs(texts, _CHUNK):
         step = _CHUNK if b - a == 1 else sum(map(len, texts[a:b])) + 1
@@ -99,11 +100,19 @@ def spans_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             stop[:-1] &= ~valid[1:] | new[1:]
             n = np.nonzero(stop)[0] - lo + 1
             text = np.searchsorted(first, lo, side="right") - 1
-            digest = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())]
+            digest = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())] if digests else []
             anchor = at[lo]
             yield a + text, lo - first[text] + base, n, anchor - lo, h[anchor], digest
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of all spans and how often they come, already counted for a run of texts."""
+    for b in batches:
+        held = [x[4] for x in spans_of([t or b"" for t in b.column(0).to_pylist()], digests=False)]
+        anchor, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "start", "n", "off", "anchor", "content"]
     for b in batches:
@@ -124,13 +133,13 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
 
 
-def multikey_quicksort(words: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+def multikey_quicksort(words: np.ndarray, at: np.ndarray, group: np.ndarray, length: int, step: int = 8) -> np.ndarray:
     """The order of the suffixes by group, then by their first length bytes.
 
-    words: the big-endian 8 bytes at each place of the text. Each round splits every open group by
-    a pivot of its own into less, equal and greater at the group's depth; the equal go one word
-    deeper. Single suffixes, and groups equal to the full length, have their final place. length is
-    a multiple of 8.
+    words: the big-endian 8 bytes at each place of the text, or at each step-th. Each round splits
+    every open group by a pivot of its own into less, equal and greater at the group's depth; the
+    equal go one word deeper. Single suffixes, and groups equal to the full length, have their final
+    place. length counts as places of words do and is a multiple of step.
     """
     ids = np.argsort(group, kind="stable")
     group = group[ids]
@@ -152,7 +161,7 @@ def multikey_quicksort(words: np.ndarray, at: np.ndarray, group: np.ndarray, len
         number = np.repeat(np.arange(edge.size) * 3, count) + side
         order = np.argsort(number, kind="stable")
         ids, group = ids[order], number[order]
-        depth = depth[order] + 8 * (side[order] == 1)
+        depth = depth[order] + step * (side[order] == 1)
     return out
 
 
@@ -169,12 +178,13 @@ def equal_neighbours(words: np.ndarray, at: np.ndarray, group: np.ndarray, order
 def equal_spans(segments: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """For each segment (anchor, n, off, text) one that has the same bytes at the same place of its anchor,
     the same for all of them, and whether there is another. Whole segments are sorted, neighbours compared."""
-    words = _words(np.frombuffer(b"".join(s[3].ljust(_CUT, b"\0") for s in segments), np.uint8))
-    at = np.arange(len(segments)) * _CUT
+    words = np.frombuffer(b"".join([s[3].ljust(_CUT, b"\0") for s in segments]), ">u8").astype(np.uint64)
+    length = _CUT // 8
+    at = np.arange(len(segments)) * length
     group = np.unique(np.array([s[0] for s in segments]), return_inverse=True)[1] * LENGTH * LENGTH + np.array([s[1] * LENGTH + s[2] for s in segments])
-    order = multikey_quicksort(words, at, group, _CUT)
+    order = multikey_quicksort(words, at, group, length, 1)
     pair = np.flatnonzero(group[order[1:]] == group[order[:-1]])
-    for depth in range(0, _CUT, 8):
+    for depth in range(length):
         pair = pair[words[at[order[pair]] + depth] == words[at[order[pair + 1]] + depth]]
     starts = np.ones(len(segments), bool)
     starts[pair + 1] = False
@@ -251,14 +261,26 @@ def _lead(cut: bytes, off: int) -> int:
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["anchor", "content", "times", "first", "n", "off", "bytes", "lead", "hot"]
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for text, spans in zip(*[c.to_pylist() for c in b.columns]):
-            cols = {k: [s[k] for s in spans] for k in ("anchor", "content", "times", "first", "n", "off", "hot")}
-            cut = [text[s["start"] : s["start"] + s["n"] + LENGTH - 1] for s in spans]
-            lead = [_lead(c, o) for c, o in zip(cut, cols["off"])]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
-            values = (cols["anchor"], cols["content"], cols["times"], cols["first"], cols["n"], cols["off"], cut, lead, cols["hot"])
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
+        spans = b.column(1).flatten()
+        start, n, off = (spans.field(k).to_pylist() for k in ("start", "n", "off"))
+        ends = np.cumsum(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)).tolist()
+        texts, at, low = b.column(0), 0, 0
+        for i, end in enumerate(ends):
+            text = texts[i].as_py()
+            cut = [text[s : s + k + LENGTH - 1] for s, k in zip(start[at:end], n[at:end])]
+            lead = [_lead(c, o) for c, o in zip(cut, off[at:end])]
+            mine = spans.slice(at, end - at)
+            columns = {k: mine.field(k) for k in ("anchor", "content", "times", "first", "n", "off", "hot")} | {"bytes": pa.array(cut, pa.binary()), "lead": pa.array(lead, pa.int64())}
+            held.append(pa.RecordBatch.from_arrays([columns[k] for k in names], names))
+            at, low = end, low + sum(map(len, cut))
+            if low > _BATCH:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, low = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +290,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([content] * n), pa.array([times] * n), pa.array(range(n), pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], ["anchor", "content", "times", "lo", "d1", "d2"])
 
 
-def _merged(spans: list[dict]) -> list[list[int]]:
+def _merged(ranges: list[int]) -> list[list[int]]:
+    """ranges: lo, hi, lo, hi and so on."""
     out: list[list[int]] = []
-    for r in sorted((s["start"] + x["lo"], s["start"] + x["hi"]) for s in spans or () for x in s["ranges"]):
+    for r in sorted(zip(ranges[::2], ranges[1::2])):
         if out and r[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], r[1])
         else:
@@ -282,7 +305,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for doc, text, ranges in zip(*[c.to_pylist() for c in b.columns]):
-            text, runs, at, kept = text or b"", _merged(ranges), 0, []
+            text, runs, at, kept = text or b"", _merged(ranges or []), 0, []
             for lo, hi in runs:
                 kept.append(text[at:lo])
                 at = hi
@@ -299,7 +322,9 @@ def repeated_ranges(d: DataFrame) -> DataFrame:
     Texts are shuffled by row once: the exchange also serves the caller's join of d by row.
     """
     spans = d.select("row", "bytes").mapInArrow(_spans, "row binary, start long, n int, off int, anchor long, content long")
-    seen = written(spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
+    anchors = d.select("bytes").mapInArrow(_anchors, "anchor long, n long")
+    seen = written(anchors.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor"))
+    del anchors
     cand = written(spans.join(seen.hint("shuffle_hash"), "anchor", "left_semi"))
     where = F.struct("row", "start", "n", "off")
     reps = written(cand.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(where).alias("least"), F.max(where).alias("most")))
@@ -340,7 +365,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ids. Null ids are documents like others. Empty input: no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("bytes"))
-    ranges = repeated_ranges(d).groupBy("row").agg(F.collect_set(F.struct("start", "ranges")).alias("ranges"))
+    ranges = repeated_ranges(d).groupBy("row").agg(F.collect_set(F.struct("start", "ranges")).alias("spans"))
+    flat = F.transform("spans", lambda s: F.flatten(F.transform(s["ranges"], lambda r: F.array(s["start"] + r["lo"], s["start"] + r["hi"]))))
+    ranges = ranges.select("row", F.flatten(flat).alias("ranges"))
     both = d.join(ranges.hint("shuffle_hash"), "row", "left").select("doc_id", "bytes", "ranges")
     return both.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo:long,hi:long>>")
 
