@@ -42,18 +42,29 @@ def aggregate(name: str, arg: Typed | None, distinct: bool, at: tuple[int, int])
 
 
 def over(name: str, arg: Typed | None, distinct: bool, window: WindowSpec, at: tuple[int, int]) -> Typed:
-    """The same over a window. Spark has no distinct window aggregates: sets of the frame's values stand in."""
+    """The same over a window. Spark has no distinct window aggregates: where frames are bounded, sets of their
+    few values stand in; others come here as plain aggregates of marked rows, see windows.marked."""
     kind = typed(name, arg, at)
     if not distinct or name in ("MIN", "MAX") or arg is None:
         plain = aggregate(name, arg, False, at)
         return Typed(kind, plain.nullable, _windowed(name, arg, kind).over(window).cast(spark_type(kind)) if kind not in ("null", "decimal", "timestamp") else _windowed(name, arg, kind).over(window))
-    values = F.collect_set(arg.to(kind).col if name != "COUNT" else arg.col).over(window)
+    values = F.collect_set(distinct_value(name, arg, kind)).over(window)
     if name == "COUNT":
         return Typed(kind, False, F.size(values).cast("bigint"))
     total = F.aggregate(values, F.lit(0).cast(spark_type(kind)), lambda a, v: (a + v).cast(spark_type(kind)))
     return Typed(kind, True, F.when(F.size(values) > 0, total if name == "SUM" else total / F.size(values)).cast(spark_type(kind)))
 
 
+def distinct_value(name: str, arg: Typed, kind: str) -> Column:
+    return arg.to(kind).col if name != "COUNT" else arg.col
+
+
+def over_marked(name: str, kind: str, value: Column, window: WindowSpec) -> Typed:
+    """value: what is distinct, NULL on rows that do not stand for one."""
+    made = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg}[name](value).over(window)
+    return Typed(kind, name != "COUNT", made.cast(spark_type(kind)))
+
+
 def _windowed(name: str, arg: Typed | None, kind: str) -> Column:
     if arg is None:
         return F.count(F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 RANKINGS = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}
@@ -35,3 +35,31 @@ def is_empty(frame: tuple[int | None, int | None] | None) -> bool:
 
 def ranking(name: str, spec: WindowSpec) -> Column:
     return RANKINGS[name]().over(spec).cast("bigint")
+
+
+def marks(frame: tuple[int | None, int | None] | None, ordered: bool) -> str | None:
+    """Which row stands for its value in DISTINCT frames of this kind: "any" of a whole partition, the "first"
+    or the "last" where one end is open. None where both ends are bounded, so that a frame holds few rows."""
+    if frame == (None, None) or (frame is None and not ordered):
+        return "any"
+    if not ordered:
+        return None
+    if frame is None or frame[0] is None:
+        return "first"
+    return "last" if frame[1] is None else None
+
+
+def marked(df: DataFrame, which: str, value: str, partition: list[str], order: list[Column], mark: str, place: str) -> DataFrame:
+    """Adds mark, true on one row of each value in a partition, and place, the row's number in it.
+
+    One exchange by the partition serves all windows here and the aggregate over them; no set of values is held.
+    Rows of equal rank get one order, by place, that the mark and a ROWS frame share.
+    """
+    x = F.col(value)
+    if which == "any":
+        before = F.lag(value).over(Window.partitionBy(*partition).orderBy(x))
+        return df.select("*", (x.isNotNull() & ~x.eqNullSafe(before)).alias(mark))
+    df = df.select("*", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).alias(place))
+    peers = Window.partitionBy(*partition, value).orderBy(place)
+    other = (F.lag if which == "first" else F.lead)(place).over(peers)
+    return df.select("*", (x.isNotNull() & other.isNull()).alias(mark))

@@ -40,25 +40,22 @@ def aggregate(df: DataFrame, keys: Sequence[tuple[str, Column]], aggs: Sequence[
 
 
 def grouping_sets(df: DataFrame, keys: Sequence[tuple[str, Column]], sets: Sequence[Sequence[int]], aggs: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Keys that a set leaves out are NULL. The empty set is a global aggregate of its own, which
-    yields its row for empty input too; Spark's expansion alone would not."""
-    made = [c.alias(n) for n, c in aggs]
+    """Keys that a set leaves out are NULL. The empty set is one of Spark's expansion, which reads the input once;
+    as that yields no row for empty input, a probe of one row then adds it."""
+    made = [c.alias(n) for n, c in aggs] or [F.count(F.lit(1)).alias("quarry_rows")]
     named = [c.alias(n) for n, c in keys]
-    whole = [s for s in sets if s]
-    parts = []
-    if whole:
-        base = df.select("*", *named)
-        cols = [F.col(quoted(n)) for n, _ in keys]
-        got = base.groupingSets([[cols[i] for i in s] for s in whole], *cols).agg(*(made or [F.count(F.lit(1)).alias("quarry_rows")]))
-        parts.append(got)
-    for _ in range(len(sets) - len(whole)):
-        one = df.agg(*(made or [F.count(F.lit(1)).alias("quarry_rows")]))
-        types = df.select(*named).schema if named else []
-        parts.append(one.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in types], *[F.col(quoted(c)) for c in one.columns]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    empty = sum(not s for s in sets)
+    if not keys:
+        one = df.agg(*made)
+        return one if empty == 1 else one.withColumn("quarry_copy", F.explode(F.sequence(F.lit(1), F.lit(empty)))).drop("quarry_copy")
+    cols = [F.col(quoted(n)) for n, _ in keys]
+    out = df.select("*", *named).groupingSets([[cols[i] for i in s] for s in sets], *cols).agg(*made)
+    if not empty:
+        return out
+    none = df.limit(1).agg(F.count(F.lit(1)).alias("quarry_found"), *made).where("quarry_found = 0")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.select(*named).schema]
+    none = none.withColumn("quarry_copy", F.explode(F.sequence(F.lit(1), F.lit(empty)))).select(*nulls, *[F.col(quoted(c)) for c in none.columns if c != "quarry_found"])
+    return out.unionByName(none)
 
 
 def order(df: DataFrame, by: Sequence[Column]) -> DataFrame:

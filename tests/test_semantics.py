@@ -100,6 +100,55 @@ def test_windows(run):
     assert run("SELECT id, SUM(amount) OVER (PARTITION BY region ORDER BY amount) AS s FROM items WHERE region = 'east' ORDER BY id") == [(1, 20), (2, 20), (3, 20)]
 
 
+def test_distinct_windows_against_plain_python(spark):
+    """Frames of every kind, with ties in the order, repeated and NULL values and NULL partitions."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([None, "a", "b"]), rnd.choice([None, 1, 1, 2, 3, 4]), rnd.choice([None, 1, 2, 3])) for i in range(120)]
+    e = Engine(spark).register("t", spark.createDataFrame(rows, "id long, p string, x long, o long"))
+    frames = {
+        "whole": ("", lambda r, part: part),
+        "whole_rows": ("ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", lambda r, part: part),
+        "peers": ("ORDER BY o", lambda r, part: [q for q in part if (q[3] is None, q[3] or 0) <= (r[3] is None, r[3] or 0)]),
+        "running": ("ORDER BY id ROWS UNBOUNDED PRECEDING", lambda r, part: [q for q in part if q[0] <= r[0]]),
+        "ahead": ("ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 2 FOLLOWING", lambda r, part: part[: part.index(r) + 3]),
+        "behind": ("ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING", lambda r, part: part[: max(0, part.index(r) - 2)]),
+        "rest": ("ORDER BY id ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING", lambda r, part: part[max(0, part.index(r) - 1) :]),
+        "near": ("ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING", lambda r, part: part[max(0, part.index(r) - 2) : part.index(r) + 2]),
+    }
+    shown = [f"{a}(DISTINCT x) OVER (PARTITION BY p {over}) AS {a.lower()}_{name}" for name, (over, _) in frames.items() for a in ("COUNT", "SUM", "AVG")]
+    got = {r["id"]: r for r in e.sql(f"SELECT id, {', '.join(shown)} FROM t").collect()}
+    for r in rows:
+        part = [q for q in rows if q[1] == r[1]]
+        for name, (_, frame) in frames.items():
+            found = {q[2] for q in frame(r, part)} - {None}
+            assert got[r[0]][f"count_{name}"] == len(found), (name, r)
+            assert got[r[0]][f"sum_{name}"] == (sum(found) if found else None), (name, r)
+            assert got[r[0]][f"avg_{name}"] == (pytest.approx(sum(found) / len(found)) if found else None), (name, r)
+
+
+def test_running_distinct_agrees_with_itself_on_ties(run):
+    """With ties each row still adds at most one value, and the last row holds them all."""
+    got = run("SELECT COUNT(DISTINCT amount) OVER (ORDER BY region ROWS UNBOUNDED PRECEDING) AS n FROM items ORDER BY n")
+    assert [n for (n,) in got][-1] == 3 and all(b - a in (0, 1) for (a,), (b,) in zip(got, got[1:]))
+
+
+def test_distinct_windows_hold_no_sets(spark):
+    e = Engine(spark).register("t", spark.range(10).selectExpr("id", "id % 3 AS p", "id % 2 AS x"))
+    for over in ("PARTITION BY p", "PARTITION BY p ORDER BY id", "PARTITION BY p ORDER BY id ROWS UNBOUNDED PRECEDING"):
+        plan = e.explain(f"SELECT id, COUNT(DISTINCT x) OVER ({over}) AS n FROM t")["physical"]
+        assert "collect_set" not in plan and plan.count("hashpartitioning") == 1, plan
+
+
+def test_grouping_sets_read_their_input_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS k", "id % 5 AS j", "id AS v").write.parquet(str(tmp_path / "t.parquet"))
+    e = Engine(spark).register_folder(str(tmp_path), ["t"])
+    sql = "SELECT k, j, SUM(v) AS s, COUNT(DISTINCT j) AS d FROM t GROUP BY GROUPING SETS ((k, j), (k), (), ())"
+    got = e.sql(sql).collect()
+    assert [tuple(r) for r in got].count((None, None, 4950, 5)) == 2 and len(got) == 15 + 3 + 2
+    plan = e.explain(sql)["physical"]
+    assert "LocalLimit 1" in plan or "GlobalLimit 1" in plan or "CollectLimit 1" in plan, plan
+
+
 @pytest.mark.parametrize(
     ("how", "want"),
     [
