@@ -865,3 +865,46 @@ def test_pruning_is_exact():
         want = sorted((-x, i) for i, x in enumerate(s) if i != j)[:5]
         for floor in (-np.inf, -want[-1][0], -want[-1][0] - 1):
             assert search.best_of(j, c[j], norms[j], ids, c, norms, floor, 5) == [(-x, i) for x, i in want]
+
+
+@pytest.mark.parametrize("first", [64, 2048])
+def test_search_sends_the_driver_little(spark, monkeypatch, first):
+    """What the driver holds is bounded: neither vectors from each partition nor the queries' copies for all cells."""
+    x = np.random.default_rng(6).normal(size=(12_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # of like length: no cell is too short for a query
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(16)
+    for name, value in (("BUCKET", 64), ("QUERIES", 4), ("FIRST", first)):
+        monkeypatch.setattr(search, name, value)
+    conf = spark.sparkContext._jsc.sc().conf()
+    most = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        found = search.top_products(df, F.col("id") % 50 == 0)
+        got = {tuple(r) for r in found.collect()}
+    finally:
+        conf.set("spark.driver.maxResultSize", most)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    v = np.floor(x * 256).astype(int)
+    want = set()
+    for j in range(0, 12_000, 50):
+        s = v @ v[j]
+        s[j] = -(1 << 62)
+        want |= {(j, k + 1, int(i), int(s[i])) for k, i in enumerate(np.lexsort((np.arange(12_000), -s))[:5])}
+    assert got == want
+
+
+def test_search_shares_and_wide_numbers(spark, monkeypatch):
+    """Several shares of queries, cells by size, and lengths on both sides of what 16 bits and single precision hold."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(150, 4)) * 10.0**k for k in (-3, 0, 1.2, 2.5, 7)] + [np.zeros((50, 4))])
+    x = x[rng.permutation(800)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for name, value in (("BUCKET", 16), ("QUERIES", 2), ("CELL_BYTES", 400), ("CELLS", 3)):
+        monkeypatch.setattr(search, name, value)
+    got = {tuple(r) for r in search.top_products(df, F.col("id") % 20 == 0).collect()}
+    v = [[int(c) for c in row] for row in np.floor(x * 256)]
+    want = set()
+    for j in range(0, 800, 20):
+        best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v[i], v[j])))), i) for i in range(800) if i != j)[:5]
+        want |= {(j, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
