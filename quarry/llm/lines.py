@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, LOWER, UPPER, checkpointed, row_hash
+from quarry.llm.common import BLANKS, LOWER, UPPER, checkpointed, row_hash, short_batches
 from quarry.llm.cuckoo import CuckooFilter, Full
 
 LEAST_CHARS = 20
@@ -47,6 +47,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings(docs: DataFrame) -> DataFrame:
     """A row for each document and distinct line key: doc_id, row, k1, k2."""
+    short_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), "text")
     return d.mapInArrow(_postings, "doc_id long, row binary, k1 long, k2 long")
 

@@ -306,6 +306,24 @@ def test_line_shards_do_not_matter(spark, monkeypatch):
     assert {tuple(r) for r in lines.dedup_lines(docs, ["doc_id"], shards=1).collect()} == want
 
 
+def test_line_scans_decode_few_rows(spark, tmp_path):
+    """Texts are read in short batches, both for their keys and for what is left of them."""
+    spark.range(2000).selectExpr("id AS doc_id", "concat('own line of document number ', id, repeat(' and more', 50)) AS text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for df in (lines.postings(docs), lines.dedup_lines(docs, ["doc_id"])):
+        run = df._jdf.queryExecution()
+        assert run.toRdd().count() == 2000
+        batches, todo = 0, [run.executedPlan()]
+        while todo:
+            node = todo.pop()
+            below = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+            todo += below or [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "ColumnarToRow":
+                batches += node.metrics().apply("numInputBatches").value()
+        assert batches == 8
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     h = rng.integers(-(1 << 62), 1 << 62, 20_000)
