@@ -49,8 +49,28 @@ def marks(frame: tuple[int | None, int | None] | None, ordered: bool) -> str | N
     return "last" if frame[1] is None else None
 
 
-def marked(df: DataFrame, which: str, value: str, partition: list[str], order: list[Column], mark: str, place: str) -> DataFrame:
-    """Adds mark, true on one row of each value in a partition, and place, the row's number in it.
+def is_open_at_end(frame: tuple[int | None, int | None] | None) -> bool:
+    """Only there: Spark makes each such frame anew from its rows, the square of a partition. From the last row back
+    they only grow."""
+    return frame is not None and frame[0] is not None and frame[1] is None
+
+
+def backward(frame: tuple[int, None]) -> tuple[None, int]:
+    """The same frame of a partition in reverse."""
+    return None, -frame[0]
+
+
+def counts_rows(name: str, frame: tuple[int | None, int | None] | None) -> bool:
+    """Whether the order of rows of equal rank shows."""
+    return name == "ROW_NUMBER" or (name not in RANKINGS and frame is not None and frame != (None, None))
+
+
+def places(partition: list[Column], order: list[Column]) -> Column:
+    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+
+
+def marked(df: DataFrame, which: str, value: str, partition: list[str], mark: str, place: str | None) -> DataFrame:
+    """Adds mark, true on one row of each value in a partition, by place, the row's number in it.
 
     One exchange by the partition serves all windows here and the aggregate over them; no set of values is held.
     Rows of equal rank get one order, by place, that the mark and a ROWS frame share.
@@ -59,7 +79,6 @@ def marked(df: DataFrame, which: str, value: str, partition: list[str], order: l
     if which == "any":
         before = F.lag(value).over(Window.partitionBy(*partition).orderBy(x))
         return df.select("*", (x.isNotNull() & ~x.eqNullSafe(before)).alias(mark))
-    df = df.select("*", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).alias(place))
     peers = Window.partitionBy(*partition, value).orderBy(place)
     other = (F.lag if which == "first" else F.lead)(place).over(peers)
     return df.select("*", (x.isNotNull() & other.isNull()).alias(mark))
