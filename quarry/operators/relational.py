@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,46 @@ def project(df: DataFrame, named: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in named])
 
 
-def join(left: DataFrame, right: DataFrame, on: Column, how: str) -> DataFrame:
-    """Strategy and build side are left to statistics and adaptive execution."""
-    return left.join(right, on, {"full": "full_outer"}.get(how, how))
+#: Joins that make FAN_OUT rows or more of a row, and SPREAD rows in all, are dealt out so that a task makes about ROWS_A_TASK,
+#: in COPIES parts at most, or twice the cores.
+FAN_OUT, SPREAD, ROWS_A_TASK, COPIES = 100, 5_000_000, 20_000_000, 64
+
+
+def join(left: DataFrame, right: DataFrame, on: Column, how: str, keys: Sequence[Column] = ()) -> DataFrame:
+    """Strategy and build side are left to statistics and adaptive execution, which see bytes, not the rows that a join makes.
+
+    keys: what on takes of the right table for equalities, where both sides are tables. If few keys meet many rows, the rows
+    made grow with the product of both sides, in as few tasks as these have files or keys. Then one side is dealt out in
+    parts, and each part meets a copy of the other in a merge join, which holds the rows of a key in a part at most."""
+    how = {"full": "full_outer"}.get(how, how)
+    n, dealt = _parts(left, right, how, keys)
+    if n < 2:
+        return left.join(right, on, how)
+    deal = lambda d: d.repartition(n).select("*", (F.spark_partition_id() % n).alias("quarry_part"))
+    copy = lambda d: d.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("quarry_copy")).hint("merge")
+    a, b = (deal(left), copy(right)) if dealt == "left" else (copy(left), deal(right))
+    return a.join(b, on & (F.col("quarry_part") == F.col("quarry_copy")), how).drop("quarry_part", "quarry_copy")
+
+
+def _parts(left: DataFrame, right: DataFrame, how: str, keys: Sequence[Column]) -> tuple[int, str]:
+    """How many parts, 0 for none, of which side. Only the right table's keys are read for it, for a sketch of their number;
+    where they repeat, the left table's rows are counted. Copies are never more rows than the join makes."""
+    if not keys or how not in ("inner", "left", "right") or left.isStreaming or right.isStreaming:
+        return 0, ""
+    try:
+        known = right.where(functools.reduce(lambda a, b: a & b, [k.isNotNull() for k in keys]))
+        rows, distinct = known.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*keys))).first()
+    except PySparkException:  # the query itself may never come to the row that fails
+        return 0, ""
+    if rows < FAN_OUT * max(1, distinct):
+        return 0, ""
+    others = left.count()
+    made = others * rows // max(1, distinct)
+    if made < SPREAD:
+        return 0, ""
+    cores = right.sparkSession.sparkContext.defaultParallelism
+    dealt = "right" if how == "right" or (how == "inner" and others < rows) else "left"
+    return min(max(cores, made // ROWS_A_TASK), max(COPIES, 2 * cores), made // (others if dealt == "right" else rows)), dealt
 
 
 def aggregate(df: DataFrame, keys: Sequence[tuple[str, Column]], aggs: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from quarry.engine import Engine
 from quarry.errors import EngineError
+from quarry.operators import relational
 
 
 @pytest.fixture(scope="module")
@@ -196,6 +197,32 @@ def test_joins(run, how, want):
     assert sorted(run(f"SELECT L.VALUE AS v, r.label FROM left_items l {how} right_items r ON l.id + 1 = r.id + 1"), key=str) == sorted(pairs + want, key=str)
 
 
+def test_joins_of_few_keys_are_dealt_out(spark):
+    """400 rows of 20000 each: neither bytes nor keys would make more than a few tasks of the 8 million rows."""
+    e = Engine(spark).register("a", spark.range(0, 20000, 1, 1).selectExpr("id", "id % 5 AS k")).register("b", spark.range(0, 2000, 1, 1).selectExpr("id", "id % 5 AS k"))
+    e.register("c", spark.range(0, 20000, 1, 1).selectExpr("id", "id % 20000 AS k"))
+    for sql in ("a JOIN b ON a.k = b.k", "b JOIN a ON a.k + 1 = b.k + 1", "a LEFT JOIN b ON b.k = a.k", "b RIGHT JOIN a ON a.k = b.k", "a JOIN b ON a.k = b.k AND a.id <> b.id"):
+        plan = e.explain(f"SELECT a.id AS x, b.id AS y FROM {sql}")["physical"]
+        assert "RoundRobinPartitioning" in plan and plan.index("RoundRobinPartitioning") < plan.index("Range (0, 20000"), plan
+    assert e.sql("SELECT a.id AS x, b.id AS y FROM a JOIN b ON a.k = b.k").selectExpr("count(*)", "sum(x)", "sum(y)").first() == (8000000, 400 * sum(range(20000)), 4000 * sum(range(2000)))
+    for sql in ("a JOIN c ON a.id = c.k", "a JOIN c ON a.k = c.k", "a JOIN b ON a.k < b.k"):
+        assert "RoundRobinPartitioning" not in e.explain(f"SELECT a.id AS x FROM {sql}")["physical"]
+
+
+def test_joins_dealt_out_have_the_same_rows(spark, monkeypatch):
+    rnd = random.Random(8)
+    made = lambda n, keys: spark.createDataFrame([(i, rnd.choice(keys), rnd.choice("xy")) for i in range(n)], "id long, k int, s string")
+    e = Engine(spark).register("a", made(150, [None, 1, 2, 3, 9])).register("b", made(60, [None, 1, 2, 3, 7])).register("n", made(4, [1, 2]))
+    texts = [f"SELECT a.id AS x, b.id AS y{z} FROM a {how} JOIN b ON a.k + 1 = b.k + 1{more}{third}" for how in ("INNER", "LEFT", "RIGHT") for more, third, z in (("", "", ""), (" AND a.s = b.s AND a.id > 20", " LEFT JOIN n ON b.k = n.k", ", n.id AS z"))]
+    texts += [q.replace("FROM a ", "FROM b ").replace("JOIN b ", "JOIN a ") for q in texts]
+    rows = lambda q: sorted(map(tuple, e.sql(q).collect()), key=str)
+    want = [rows(q) for q in texts]
+    for name, n in {"FAN_OUT": 1, "SPREAD": 1, "ROWS_A_TASK": 500}.items():
+        monkeypatch.setattr(relational, name, n)
+    assert [rows(q) for q in texts] == want
+    assert all("quarry_copy" in e.explain(q)["physical"] for q in texts)
+
+
 def test_join_superset(run):
     assert sorted(run("SELECT l.value, r.label FROM left_items l JOIN right_items r ON l.id < r.id")) == [("L1", "R2a"), ("L1", "R2b"), ("L1", "R3"), ("L2a", "R3"), ("L2b", "R3")]
     assert run("SELECT l.value FROM left_items l JOIN right_items r ON l.id = r.id AND r.label = 'R2a' AND TRUE ORDER BY l.value") == [("L2a",), ("L2b",)]
